@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lotweave.llm import bpe
+from lotweave.llm import bpe, secrets
 
-MODULES = [bpe]
+MODULES = [bpe, secrets]
 
 
 def queries() -> dict:
