@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lotweave.llm import bpe, secrets
+from lotweave.llm import bpe, exact_dedup, secrets
 
-MODULES = [bpe, secrets]
+MODULES = [bpe, secrets, exact_dedup]
 
 
 def queries() -> dict:
