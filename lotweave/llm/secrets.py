@@ -37,38 +37,36 @@ ENDPOINT = r"""https?://[^\x20\x09-\x0D"'<>]+|[0-9]{1,3}(\.[0-9]{1,3}){3}(:[0-9]
 KINDS = ["assign", "access", "hex", "ident", "blob", "endpoint"]
 ROLE = {"assign": "secret", "hex": "secret", "blob": "secret", "access": "ident", "ident": "ident", "endpoint": "endpoint"}
 
-_BLOCK = 64
-
-
-def _running(sizes: Column) -> Column:
-    start = F.array().cast("array<int>")
-    return F.aggregate(sizes, start, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + x)))
-
-
-def running_sums(sizes: Column) -> Column:
-    """Sums up to and with each element of an array<int>; in blocks, so that many elements take near-linear time."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _BLOCK).cast("int")), lambda b: F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK)))
-    before = _running(F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)))
-    each = F.transform(blocks, lambda x, i: F.transform(_running(x), lambda v: v + F.coalesce(F.get(before, i - 1), F.lit(0))))
-    return F.when(F.size(sizes) > 0, F.flatten(each)).otherwise(F.array().cast("array<int>"))
+_SPAN = "struct<start:int,end:int,rank:int,kind:string>"
+_BLOCK = 256  # a fold copies what it has gathered at each step, so it gathers in blocks
 
 
 def find(text: Column, pattern: str, kind: str, keep=None, guard: Column | None = None) -> Column:
     """array<struct<start, end, rank, kind>> of the pattern's leftmost non-overlapping matches that keep() accepts.
 
-    guard: a cheap condition without which the text has no match.
+    Matches and the gaps between them are folded in order, which gives each match's place. guard: a cheap condition without
+    which the text has no match.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    ends = running_sums(F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m)))
-    spans = F.transform(
-        F.arrays_zip(found.alias("m"), ends.alias("e")),
-        lambda x: F.struct((x["e"] - F.length(x["m"])).alias("start"), x["e"].alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), x["m"].alias("m")),
-    )
-    if keep is not None:
-        spans = F.filter(spans, lambda x: keep(x["m"]))
-    spans = F.transform(spans, lambda x: F.struct(x["start"], x["end"], x["rank"], x["kind"]))
-    return F.when(text.rlike(pattern) if guard is None else guard, spans).otherwise(F.array().cast("array<struct<start:int,end:int,rank:int,kind:string>>"))
+    # The last gap has no match after it.
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    none = F.array().cast(f"array<{_SPAN}>")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("done"), none.alias("now"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begins = acc["at"] + F.length(x["g"])
+        ends = begins + F.coalesce(F.length(x["m"]), F.lit(0))
+        full = F.size(acc["now"]) >= _BLOCK
+        span = F.struct(begins.alias("start"), ends.alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"))
+        good = x["m"].isNotNull() if keep is None else F.coalesce(keep(x["m"]), F.lit(False))
+        now = F.when(full, none).otherwise(acc["now"])
+        return F.struct(
+            ends.alias("at"),
+            F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"),
+            F.when(good, F.concat(now, F.array(span))).otherwise(now).alias("now"),
+        )
+
+    spans = F.aggregate(pieces, start, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["now"]))))
+    return F.when(text.rlike(pattern) if guard is None else guard, spans).otherwise(none)
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -108,7 +106,9 @@ def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", scope:
     found = durable(scan(df, key, text))
     parts = found.where("digest is not null").select("digest", F.explode(F.concat("base", "weak")).alias("p")).select("digest", "p.*")
     linked = link(parts, scope, ("digest",)).groupBy("digest").agg(F.collect_list(F.struct("start", "end", "rank", "kind")).alias("linked"))
-    rows = found.join(linked, "digest", "left")
+    rows = found.where("digest is not null").join(linked, "digest", "left")
+    # Texts without parts have no digest; they'd all meet in one task of the join.
+    rows = rows.unionByName(found.where("digest is null"), allowMissingColumns=True)
     # By start, then kind as listed.
     order = lambda a: F.array_sort(a, lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).when(x["rank"] != y["rank"], x["rank"] - y["rank"]).otherwise(x["end"] - y["end"]))
     return rows.select(key, order(F.col("base")).alias("base"), order(F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.concat("base", "linked"))).alias("spans"))
