@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lotweave.llm import bpe, exact_dedup, line_dedup, secrets
+from lotweave.llm import bpe, exact_dedup, language, line_dedup, secrets
 
-MODULES = [bpe, secrets, line_dedup, exact_dedup]
+MODULES = [bpe, secrets, language, line_dedup, exact_dedup]
 
 
 def queries() -> dict:
