@@ -15,10 +15,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotweave.llm.common import documents, map_texts
+from lotweave.llm.labels import remainder
 
 PROFILE = 400  # n-grams in a language's profile
 OF_TEXT = 400  # n-grams of a text that are compared
@@ -113,10 +114,6 @@ def predict(df: DataFrame, profiles: dict[str, list[int]], key: str = "doc_id",
     return map_texts(df, key, text, work, f"`{key}` {kind}, lang_pred string, score double")
 
 
-def remainder(key: str, by: int) -> Column:
-    return F.coalesce(F.crc32(F.col(key).cast("string")) % by, F.lit(-1))
-
-
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     profiles = learn(docs.where(remainder("doc_id", 4) != 2))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lotweave.llm import bpe, exact_dedup, language, line_dedup, secrets
+from lotweave.llm import bpe, exact_dedup, language, line_dedup, secrets, toxicity
 
-MODULES = [bpe, secrets, language, line_dedup, exact_dedup]
+MODULES = [bpe, secrets, language, line_dedup, exact_dedup, toxicity]
 
 
 def queries() -> dict:
