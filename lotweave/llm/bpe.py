@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotweave.llm.common import documents, map_texts
+from lotweave.llm.common import documents, importable, map_texts
 
 #: Words whose tokens a worker remembers before it starts afresh (a bound on memory only).
 REMEMBERED = 1 << 19
@@ -285,6 +285,7 @@ _known: dict[str, bytes] = {}
 
 def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, decoded) from packed ids; null ids give an empty text."""
+    importable(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(WordBPE(path))
     kind = df.schema[key].dataType.simpleString()
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,14 @@ def remove_durable() -> None:
             return
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it, whatever folder they start in."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,6 +97,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def map_texts(df: DataFrame, key: str, text: str, work: Callable[[pa.Array, pa.Array], Iterator[pa.RecordBatch]], schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Runs work(keys, texts, *extra) over bounded runs of rows; the columns it needs are chosen first, so others can't clash."""
+    importable(df.sparkSession)
     chosen = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(extra)])
 
     def run(batches):
