@@ -95,14 +95,14 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def map_texts(df: DataFrame, key: str, text: str, work: Callable[[pa.Array, pa.Array], Iterator[pa.RecordBatch]], schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
+def map_texts(df: DataFrame, key: str, text: str, work: Callable[[pa.Array, pa.Array], Iterator[pa.RecordBatch]], schema: str, extra: tuple[str, ...] = (), limit: int = BATCH_BYTES) -> DataFrame:
     """Runs work(keys, texts, *extra) over bounded runs of rows; the columns it needs are chosen first, so others can't clash."""
     importable(df.sparkSession)
     chosen = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(extra)])
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=limit):
                 yield from work(*part.columns)
 
     return chosen.mapInArrow(run, schema)

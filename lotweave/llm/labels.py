@@ -22,7 +22,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, key:
     """(key, text, label) of at most `most` training rows with a label of 0 or 1."""
     chosen = labels.where(train & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("label"))
     chosen = chosen.orderBy(F.xxhash64(key), key).limit(most)
-    return docs.select(key, text).join(chosen, key).select(key, F.coalesce(F.col(text), F.lit("")).alias("text"), "label")
+    # `most` keys and labels: a bound on what is broadcast, whatever the input.
+    return docs.select(key, text).join(F.broadcast(chosen), key).select(key, F.coalesce(F.col(text), F.lit("")).alias("text"), "label")
 
 
 def spread_out(rows: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -40,6 +40,10 @@ LEAST_WEIGHT, BEYOND_CHANCE = 3.0, 4.0
 MOST_ENTRIES, MOST_EXCEPTIONS = 4096, 4096
 
 
+#: Texts whose terms a worker counts at once: each has many more terms than words.
+TERM_BYTES = 1 << 19
+
+
 class Folding(dict):
     """A translation table that fills itself: letters stay, all else becomes a blank."""
 
@@ -149,13 +153,15 @@ def learn(rows: DataFrame, key: str = "doc_id") -> Lexicon:
     table = Folding()
 
     def terms(keys: pa.Array, texts: pa.Array, labels: pa.Array):
-        counts: Counter = Counter()
+        counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for t, y in zip(texts.to_pylist(), labels.to_pylist(), strict=True):
             words = set(fold(t, table))
-            counts.update((x, y) for x in words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) >= k})
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in counts], pa.string()), pa.array([y for _, y in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["term", "label", "n"])
+            counts[y].update(words)
+            counts[y].update({f"{w[:k]}*" for w in words for k in STEMS if len(w) >= k})
+        for y, c in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([y] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["term", "label", "n"])
 
-    found = map_texts(rows, key, "text", terms, "term string, label int, n bigint", ("label",)).groupBy("term").agg(F.sum(F.col("n") * F.col("label")).alias("a"), F.sum(F.col("n") * (1 - F.col("label"))).alias("b"))
+    found = map_texts(rows, key, "text", terms, "term string, label int, n bigint", ("label",), TERM_BYTES).groupBy("term").agg(F.sum(F.col("n") * F.col("label")).alias("a"), F.sum(F.col("n") * (1 - F.col("label"))).alias("b"))
     weight = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
     share = n1 / (n1 + n0)
     part = lambda x, p: F.when(x > 0, x * F.log(x / ((F.col("a") + F.col("b")) * p))).otherwise(0.0)
