@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lotweave.llm import bpe, exact_dedup, language, line_dedup, quality, secrets, toxicity
+from lotweave.llm import bpe, exact_dedup, jaccard_join, language, line_dedup, quality, secrets, toxicity
 
-MODULES = [bpe, secrets, quality, language, line_dedup, exact_dedup, toxicity]
+MODULES = [bpe, secrets, quality, language, line_dedup, exact_dedup, jaccard_join, toxicity]
 
 
 def queries() -> dict:
