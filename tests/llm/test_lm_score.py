@@ -8,7 +8,7 @@ from lotweave.llm import lm_score as M
 
 
 def brute(rows, order, least):
-    words = [[w.lower() for w in (t or "").replace("\n", " ").split(" ") if w] for _, t in rows]
+    words = [["".join(c.lower() if c.isascii() else c for c in w) for w in (t or "").replace("\n", " ").split(" ") if w] for _, t in rows]
     counts = Counter(tuple(ws[i : i + n]) for ws in words for n in range(1, order + 1) for i in range(len(ws) - n + 1))
     total = sum(map(len, words))
 
