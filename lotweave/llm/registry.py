@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lotweave.llm import bpe, exact_dedup, jaccard_join, language, line_dedup, lm_score, quality, secrets, toxicity
+from lotweave.llm import bpe, decontaminate, exact_dedup, jaccard_join, language, line_dedup, lm_score, quality, secrets, toxicity
 
-MODULES = [bpe, secrets, lm_score, quality, language, line_dedup, exact_dedup, jaccard_join, toxicity]
+MODULES = [bpe, secrets, lm_score, decontaminate, quality, language, line_dedup, exact_dedup, jaccard_join, toxicity]
 
 
 def queries() -> dict:
