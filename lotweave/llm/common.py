@@ -74,7 +74,10 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 def slices(batch: pa.RecordBatch, column: int = 1, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows with about `limit` bytes of text; a single longer text is a run of its own."""
     texts = batch.column(column)
-    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
+    if pa.types.is_primitive(texts.type):
+        size = np.full(len(texts), 8, np.int64)
+    else:
+        size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     ends, start, total = np.cumsum(size), 0, 0
     while start < len(size):
         stop = max(start + 1, int(np.searchsorted(ends, total + limit, side="right")))

@@ -9,9 +9,10 @@ is probed in them by binary search, shingle by shingle, in the candidate's own s
 Rarity comes from a saturating count sketch of a fixed size. Any order of shingles gives the same links; a good one gives few
 candidates. Pairs that cannot reach T from their sizes and places are dropped where the list is merged.
 
-A list with more than `long` members (a large group of near copies) isn't paired off. It first links its neighbours by size
-and to one pivot, which contracts near copies; where members are left in different components, the list is cut into blocks,
-and each pair of blocks with different components gets a local DivideSkip search that gives a spanning set of links.
+A list whose members pair off too often (a large group of near copies), or that is very long, isn't paired off. Each member
+first tries a few others, which contracts near copies into few components; where members are left in different components, the
+list is cut into blocks, and each pair of blocks with different components gets a local DivideSkip search that gives a spanning
+set of links.
 
 Links become components by alternating large and small stars over written tables. Defined cases: null and empty texts and
 texts without words link with nothing; repeated keys link as their texts do and have a row each; texts with fewer words than
@@ -20,19 +21,19 @@ a shingle are one shingle of all words; a null key counts as none, so a componen
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotweave.llm import codes
-from lotweave.llm.common import documents, durable, importable, map_texts, text_bytes
+from lotweave.llm.common import BATCH_BYTES, documents, durable, importable, map_texts, slices, text_bytes
 
 WORDS, PERCENT = 4, 85
-#: Members of a list that are paired off at most, and sets in a block of longer lists.
-LONG, BLOCK = 64, 128
+#: Lists up to LONG members are paired off; longer ones if no more than TRIES pairs a member can reach T; none over LONGEST.
+LONG, TRIES, LONGEST = 32, 16, 1024
+#: How far apart in the order of sizes the members of other lists are that try each other; sets in a block of such a list.
+APART, BLOCK = (1, 2, 3, 5, 8, 13, 21, 34), 512
 #: Counters of the sketch: 16 a text within these bounds (a byte each).
 LEAST_BITS, MOST_BITS = 12, 22
 
@@ -91,11 +92,20 @@ def counted(df: DataFrame, column: str, bits: int, cells) -> np.ndarray:
     def run(batches):
         from pyspark import TaskContext
 
-        total = np.zeros(size, np.uint16)
+        total, some = np.zeros(size, np.uint8), [np.zeros(0, np.int64)]
+
+        def add():
+            one = np.minimum(np.bincount(np.concatenate(some), minlength=size), 255).astype(np.uint8)
+            some[:] = some[:1]
+            return np.where(total > 255 - one, np.uint8(255), total + one)
+
         for batch in batches:
-            for k in range(0, len(batch), 512):
-                for c in cells(batch.column(0).slice(k, 512)):
-                    total = np.minimum(total + np.minimum(np.bincount(c, minlength=size), 255).astype(np.uint16), 255)
+            for part in slices(batch, 0, BATCH_BYTES >> 1):
+                for c in cells(part.column(0)):
+                    some.append(c)
+                if sum(map(len, some)) > 1 << 20:
+                    total = add()
+        total = add()
         for k in range(0, size, piece):
             if total[k : k + piece].any():
                 yield pa.RecordBatch.from_arrays([pa.array([k // piece], pa.int32()), pa.array([total[k : k + piece].astype(np.uint8).tobytes()], pa.binary()), pa.array([TaskContext.get().partitionId() % 64], pa.int32())], names=["piece", "counts", "spread"])
@@ -110,8 +120,7 @@ def shingled(df: DataFrame, key: str, text: str, words: int, percent: int) -> Da
     shift = np.uint64(64 - bits)
 
     def cells(texts):
-        for k in range(0, len(texts), 64):
-            yield np.concatenate([(s >> shift).astype(np.int64) for s in _sets(texts.slice(k, 64), words)] or [np.zeros(0, np.int64)])
+        yield np.concatenate([(s >> shift).astype(np.int64) for s in _sets(texts, words)] or [np.zeros(0, np.int64)])
 
     sketch = df.sparkSession.sparkContext.broadcast(counted(df.select(F.col(text).alias("_t")), "_t", bits, cells))  # 2 ** MOST_BITS bytes at most
     kind = df.schema[key].dataType.simpleString()
@@ -141,7 +150,13 @@ def candidates(lists: DataFrame, percent: int, long: int) -> DataFrame:
         first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         size = np.diff(np.append(first, len(token)))
         pairs: list[np.ndarray] = []
-        held = 0
+
+        def reach(p, q):
+            """Whether members p and q (p's set not larger) can reach T. What follows the shared shingle bounds the overlap if it is the first."""
+            return (1 + np.minimum(n[p] - at[p], n[q] - at[q]) - 1 >= needed(n[p], n[q], percent)) & (100 * n[p] >= percent * n[q]) & (node[p] != node[q])
+
+        def keep(p, q):
+            pairs.append(np.stack([np.minimum(node[p], node[q]), np.maximum(node[p], node[q])]))
 
         def emit():
             x, y = np.unique(np.concatenate(pairs, 1), axis=1)
@@ -158,23 +173,26 @@ def candidates(lists: DataFrame, percent: int, long: int) -> DataFrame:
                 for k in range(0, len(starts), per):
                     s = starts[k : k + per, None]
                     p, q = (s + i).ravel(), (s + j).ravel()
-                    # What follows the shared shingle bounds the overlap of a pair whose first one it is.
-                    good = (1 + np.minimum(n[p] - at[p], n[q] - at[q]) - 1 >= needed(n[p], n[q], percent)) & (100 * n[p] >= percent * n[q]) & (node[p] != node[q])
-                    p, q = node[p[good]], node[q[good]]
-                    pairs.append(np.stack([np.minimum(p, q), np.maximum(p, q)]))
-                    held += pairs[-1].shape[1]
-                    if held > 1 << 20:
+                    good = reach(p, q)
+                    keep(p[good], q[good])
+                    if sum(x.shape[1] for x in pairs) > 1 << 20:
                         yield emit()
-                        held = 0
             else:
                 for s in starts:
                     p = np.arange(s, s + length)
+                    if length <= LONGEST:
+                        i, j = np.triu_indices(length, 1)
+                        good = reach(p[i], p[j])
+                        if good.sum() <= TRIES * length:
+                            keep(p[i[good]], p[j[good]])
+                            continue
                     yield pa.RecordBatch.from_arrays([pa.array(token[p]), pa.array(node[p]), pa.nulls(length, pa.int64())], names=["token", "x", "y"])
-                    pivot = np.full(length - 1, p[length // 2])
-                    u, v = np.append(p[:-1], pivot), np.append(p[1:], np.delete(p, length // 2))
-                    good = (100 * np.minimum(n[u], n[v]) >= percent * np.maximum(n[u], n[v])) & (node[u] != node[v])
-                    u, v = node[u[good]], node[v[good]]
-                    pairs.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
+                    for d in APART:
+                        u, v = p[:-d], p[d:]
+                        good = reach(u, v)
+                        keep(u[good], v[good])
+                if sum(x.shape[1] for x in pairs) > 1 << 20:
+                    yield emit()
         if pairs:
             yield emit()
 
@@ -206,31 +224,40 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "x bigint, y bigint")
 
 
-def divide_skip(index: list[np.ndarray], query: np.ndarray, percent: int, skip: set[int] = frozenset()) -> list[int]:
-    """Numbers of the sets in `index` that link with query, leaving out those in skip.
-
-    The query's lists are divided: of the L longest none is read; the others are merged by a heap, and a set on at least
-    T - L of them is probed in the long ones.
-    """
-    lists: dict[int, list[int]] = {}
-    have = query.tolist()
-    for k, s in enumerate(index):
-        if k not in skip and 100 * min(len(s), len(query)) >= percent * max(len(s), len(query)):
-            for x in s[np.isin(s, query, assume_unique=True)].tolist():
-                lists.setdefault(x, []).append(k)
-    least = min((needed(len(query), len(s), percent) for s in index), default=1)
-    by_size = sorted((x for x in have if x in lists), key=lambda x: len(lists[x]))
-    n_long = max(0, min(least - 1, len(by_size) - 1))
-    short = by_size[: len(by_size) - n_long]
-    found, last, times = [], -1, 0
-    for k in [*heapq.merge(*(lists[x] for x in short)), -2]:
-        if k == last:
-            times += 1
-            continue
-        if last >= 0 and times >= max(1, needed(len(query), len(index[last]), percent) - n_long) and overlap(query, index[last]) >= needed(len(query), len(index[last]), percent):
-            found.append(last)
-        last, times = k, 1
-    return found
+class Inverted:
+    """Inverted lists of some sets, for DivideSkip searches."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        self.items, self.owner = every[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def search(self, query: np.ndarray, percent: int, skip: np.ndarray | None = None) -> list[int]:
+        """Numbers of the sets that link with query, leaving out those where skip is true.
+
+        The query's lists are divided: its L longest aren't merged. The others are (a stable sort merges their sorted runs),
+        and a set on at least T - L of them is probed in the long ones by binary search.
+        """
+        fit = 100 * np.minimum(self.sizes, len(query)) >= percent * np.maximum(self.sizes, len(query))
+        if skip is not None:
+            fit &= ~skip
+        if not fit.any():
+            return []
+        first, last = np.searchsorted(self.items, query), np.searchsorted(self.items, query, side="right")
+        length = last - first
+        order = np.argsort(length, kind="stable")
+        need = needed(len(query), self.sizes, percent)
+        n_long = min(int(need[fit].min()) - 1, len(query) - 1) * 3 // 4
+        short = order[: len(order) - n_long]
+        a, k = first[short], length[short]
+        at = np.arange(k.sum()) + np.repeat(a - np.append(0, np.cumsum(k)[:-1]), k)
+        merged = np.sort(self.owner[at], kind="stable")
+        starts = np.flatnonzero(np.append(True, merged[1:] != merged[:-1])) if len(merged) else np.zeros(0, np.int64)
+        who, times = merged[starts], np.diff(np.append(starts, len(merged)))
+        some = who[fit[who] & (times >= np.maximum(1, need[who] - n_long))]
+        return [int(k) for k in some if overlap(query, self.sets[k]) >= need[k]]
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -301,15 +328,18 @@ def long_lists(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: i
                 u = parent[u]
             return u
 
+        index = Inverted(items)
+        name, times = np.unique(np.array(labels), return_counts=True)
+        most = name[times.argmax()]
         xs, ys = [], []
-        for q in range(1, len(nodes)):
-            skip = {k for k in range(q) if find(labels[k]) == find(labels[q])}
-            if len(skip) == q:
-                continue
-            for k in divide_skip(items[:q], items[q], percent, skip):
+        # Each pair of different components has a member outside the most frequent one.
+        for q in [k for k, x in enumerate(labels) if x != most]:
+            own = find(labels[q])
+            skip = np.array([find(x) == own for x in labels])
+            for k in index.search(items[q], percent, skip):
                 if find(labels[k]) != find(labels[q]):
-                    xs.append(nodes[k])
-                    ys.append(nodes[q])
+                    xs.append(min(nodes[k], nodes[q]))
+                    ys.append(max(nodes[k], nodes[q]))
                     parent[find(labels[k])] = find(labels[q])
         return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 

@@ -49,8 +49,10 @@ def near_copies():
     return rows
 
 
-@pytest.mark.parametrize(("words", "percent", "long", "block"), [(4, 85, 64, 128), (5, 80, 3, 2), (2, 60, 2, 3)])
-def test_components_equal_brute_force(spark, words, percent, long, block):
+@pytest.mark.parametrize(("words", "percent", "long", "block", "tries"), [(4, 85, 32, 512, 16), (5, 80, 3, 2, 0), (2, 60, 2, 3, 0)])
+def test_components_equal_brute_force(spark, monkeypatch, words, percent, long, block, tries):
+    monkeypatch.setattr(J, "TRIES", tries)
+    monkeypatch.setattr(J, "APART", (1,))
     rows = near_copies()
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n long")
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.components(df, words=words, percent=percent, long=long, block=block).collect())
@@ -62,8 +64,10 @@ def test_divide_skip_finds_all():
     index = [np.unique(rng.choice(60, rng.integers(1, 50))).astype(np.uint64) for _ in range(80)]
     for q in index[:30]:
         for percent in (30, 60, 85):
+            skip = rng.random(80) < 0.2
             want = [k for k, s in enumerate(index) if 100 * len(set(s.tolist()) & set(q.tolist())) >= percent * len(set(s.tolist()) | set(q.tolist()))]
-            assert J.divide_skip(index, q, percent) == want
+            assert J.Inverted(index).search(q, percent) == want
+            assert J.Inverted(index).search(q, percent, skip) == [k for k in want if not skip[k]]
 
 
 def test_components_of_long_chains(spark):
