@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from lotweave.plans import lot_queries
+
+MODULES = [lot_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for m in MODULES for k, q in m.ORACLE.items()}
