@@ -3,11 +3,11 @@
 Texts become sets of word-shingle codes; equal sets are one class, and only classes are joined. Two sets of sizes m and n link
 when their overlap reaches T = ceil(p (m + n) / (100 + p)) for a similarity of p percent. Inverted lists are divided as in
 DivideSkip: a set's rarest shingles give its short lists, as many as guarantee that any set reaching T is on one of them;
-those lists are built by one exchange and merged, and the many long lists are never read: a candidate from the short ones
-is probed in them by binary search, shingle by shingle, in the candidate's own sorted set.
+those lists are built by one exchange and merged, and the L long ones are never read: a candidate that is on at least T - L of
+the short ones is probed in them by binary search, shingle by shingle, in the candidate's own sorted set.
 
 Rarity comes from a saturating count sketch of a fixed size. Any order of shingles gives the same links; a good one gives few
-candidates. Pairs that cannot reach T from their sizes and places are dropped where the list is merged.
+candidates. In lists of many members, only pairs are taken that can reach T if this is their first common shingle.
 
 A list whose members pair off too often (a large group of near copies), or that is very long, isn't paired off. Each member
 first tries a few others, which contracts near copies into few components; where members are left in different components, the
@@ -32,9 +32,11 @@ from lotweave.llm.common import BATCH_BYTES, documents, durable, importable, map
 WORDS, PERCENT = 4, 85
 #: Lists up to LONG members are paired off; longer ones if no more than TRIES pairs a member can reach T; none over LONGEST.
 LONG, TRIES, LONGEST = 32, 16, 1024
+SURE = 1 << 40
+NAMES = ["token", "x", "y", "nx", "ny", "times"]
 #: How far apart in the order of sizes the members of other lists are that try each other; sets in a block of such a list.
 APART, BLOCK = (1, 2, 3, 5, 8, 13, 21, 34), 512
-#: Counters of the sketch: 16 a text within these bounds (a byte each).
+#: Counters of the sketch: 8 a text within these bounds (a byte each).
 LEAST_BITS, MOST_BITS = 12, 22
 
 
@@ -116,7 +118,7 @@ def counted(df: DataFrame, column: str, bits: int, cells) -> np.ndarray:
 def shingled(df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """(key, n, a, b, short): the set's size, its signature, and its rarest shingles in order."""
     rows = df.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * rows).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (8 * rows).bit_length()))
     shift = np.uint64(64 - bits)
 
     def cells(texts):
@@ -138,7 +140,11 @@ def shingled(df: DataFrame, key: str, text: str, words: int, percent: int) -> Da
 
 
 def candidates(lists: DataFrame, percent: int, long: int) -> DataFrame:
-    """(token, x, y) from (token, node, n, at) rows that are dealt by token. Pairs have no token; members of long lists have no y."""
+    """From (token, node, n, at) rows that are dealt by token: pairs (x, y, nx, ny, times) and members (token, x, times).
+
+    times is how many lists of up to `long` members a pair shares, or SURE if it is a candidate anyhow; of a member it is 1 if its
+    list is very long or pairs off too often, and else 0.
+    """
 
     def run(batches):
         parts = [np.stack([np.asarray(c) for c in b.columns]) for b in batches if len(b)]
@@ -151,17 +157,31 @@ def candidates(lists: DataFrame, percent: int, long: int) -> DataFrame:
         size = np.diff(np.append(first, len(token)))
         pairs: list[np.ndarray] = []
 
+        def similar(p, q):
+            """Whether members p and q (p's set not larger) have sizes that let them link."""
+            return (100 * n[p] >= percent * n[q]) & (node[p] != node[q])
+
         def reach(p, q):
-            """Whether members p and q (p's set not larger) can reach T. What follows the shared shingle bounds the overlap if it is the first."""
-            return (1 + np.minimum(n[p] - at[p], n[q] - at[q]) - 1 >= needed(n[p], n[q], percent)) & (100 * n[p] >= percent * n[q]) & (node[p] != node[q])
+            """The same, if this is their first common shingle: what follows it bounds the overlap."""
+            return similar(p, q) & (np.minimum(n[p] - at[p], n[q] - at[q]) >= needed(n[p], n[q], percent))
 
-        def keep(p, q):
-            pairs.append(np.stack([np.minimum(node[p], node[q]), np.maximum(node[p], node[q])]))
+        def keep(p, q, times):
+            turned = node[p] > node[q]
+            p, q = np.where(turned, q, p), np.where(turned, p, q)
+            pairs.append(np.stack([node[p], node[q], n[p], n[q], np.full(len(p), times)]))
 
         def emit():
-            x, y = np.unique(np.concatenate(pairs, 1), axis=1)
+            x, y, nx, ny, times = np.concatenate(pairs, 1)
             pairs.clear()
-            return pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.array(x), pa.array(y)], names=["token", "x", "y"])
+            order = np.lexsort((y, x))
+            x, y, nx, ny, times = x[order], y[order], nx[order], ny[order], times[order]
+            new = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else np.zeros(0, np.int64)
+            sums = np.add.reduceat(times, new) if len(x) else times
+            return pa.RecordBatch.from_arrays([pa.nulls(len(new), pa.int64()), *map(pa.array, (x[new], y[new], nx[new], ny[new], sums))], names=NAMES)
+
+        def members(p, very):
+            none = pa.nulls(len(p), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(token[p]), pa.array(node[p]), none, none, none, pa.array(np.full(len(p), very))], names=NAMES)
 
         for length in np.unique(size):
             if length < 2:
@@ -169,35 +189,58 @@ def candidates(lists: DataFrame, percent: int, long: int) -> DataFrame:
             starts = first[size == length]
             if length <= long:  # all lists of one length at once
                 i, j = np.triu_indices(length, 1)
-                per = max(1, (1 << 20) // len(i))
+                per = max(1, (1 << 18) // len(i))
                 for k in range(0, len(starts), per):
                     s = starts[k : k + per, None]
                     p, q = (s + i).ravel(), (s + j).ravel()
-                    good = reach(p, q)
-                    keep(p[good], q[good])
-                    if sum(x.shape[1] for x in pairs) > 1 << 20:
+                    good = similar(p, q)
+                    keep(p[good], q[good], 1)
+                    if sum(x.shape[1] for x in pairs) > 1 << 19:
                         yield emit()
             else:
                 for s in starts:
                     p = np.arange(s, s + length)
+                    good = None
                     if length <= LONGEST:
                         i, j = np.triu_indices(length, 1)
                         good = reach(p[i], p[j])
-                        if good.sum() <= TRIES * length:
-                            keep(p[i[good]], p[j[good]])
-                            continue
-                    yield pa.RecordBatch.from_arrays([pa.array(token[p]), pa.array(node[p]), pa.nulls(length, pa.int64())], names=["token", "x", "y"])
-                    for d in APART:
-                        u, v = p[:-d], p[d:]
-                        good = reach(u, v)
-                        keep(u[good], v[good])
-                if sum(x.shape[1] for x in pairs) > 1 << 20:
-                    yield emit()
+                    if good is not None and good.sum() <= TRIES * length:
+                        keep(p[i[good]], p[j[good]], SURE)
+                        yield members(p, 0)
+                    else:
+                        yield members(p, 1)
+                        for d in APART:
+                            u, v = p[:-d], p[d:]
+                            near = similar(u, v)
+                            keep(u[near], v[near], SURE)
+                    if sum(x.shape[1] for x in pairs) > 1 << 19:
+                        yield emit()
         if pairs:
             yield emit()
 
     importable(lists.sparkSession)
-    return lists.mapInArrow(run, "token bigint, x bigint, y bigint")
+    return lists.mapInArrow(run, ", ".join(f"{c} bigint" for c in NAMES))
+
+
+def worth_checking(found: DataFrame, percent: int) -> DataFrame:
+    """(x, y) of the pairs that are on enough short lists.
+
+    Of two sets that reach T, one's listed shingles that the other has are all listed of both; so they share at least T - L short
+    lists, L being the larger set's number of unlisted shingles. Lists that weren't paired off in full count in their favour.
+    """
+    pairs = found.where("y is not null").groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.sum("times").alias("times"))
+    least = needed_column(F.col("nx") + F.col("ny"), percent)
+    unlisted = F.greatest(F.col("nx"), F.col("ny"))
+    unlisted = unlisted - (unlisted - F.ceil(percent * unlisted / 100.0) + 1)
+    spare = found.where("y is null").groupBy(F.col("x").alias("node")).agg(F.count("*").alias("spare"))
+    pairs = pairs.withColumn("lacks", least - unlisted - F.col("times"))
+    sure = pairs.where("lacks <= 0")
+    rest = pairs.where("lacks > 0").join(spare.select(F.col("node").alias("x"), F.col("spare").alias("sx")), "x").join(spare.select(F.col("node").alias("y"), F.col("spare").alias("sy")), "y")
+    return sure.select("x", "y").unionByName(rest.where("lacks <= least(sx, sy)").select("x", "y"))
+
+
+def needed_column(both, percent: int):
+    return F.ceil(percent * both / (100.0 + percent) - 1e-9)
 
 
 def overlap(s: np.ndarray, t: np.ndarray) -> int:
@@ -355,8 +398,8 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
     classes = durable(classes.withColumn("node", F.monotonically_increasing_id()))
     lists = classes.select(F.posexplode("short").alias("at", "token"), "node", "n").select("token", "node", "n", F.col("at").cast("bigint"))
     found = durable(candidates(lists.repartition("token"), percent, long))
-    pairs = durable(found.where("y is not null").select("x", "y").distinct())
-    members = found.where("y is null").select("token", F.col("x").alias("node"))
+    pairs = durable(worth_checking(found, percent))
+    members = found.where("y is null and times = 1").select("token", F.col("x").alias("node"))
     # Sets of the nodes that are asked for: texts are read again, and a fixed-size filter by signature spares most of them.
     asked = pairs.select(F.explode(F.array("x", "y")).alias("node")).unionByName(members.select("node")).distinct()
     asked = durable(classes.select("node", "n", "a", "b").join(asked, "node"))
