@@ -30,12 +30,15 @@ from lotweave.llm.common import documents, map_texts, text_bytes
 
 PERCENT = 15
 #: Independent walks, codes of each walk, and sampled steps in a code.
-WALKS, CODES, SAMPLED = 1, 6, 8
+WALKS, CODES, SAMPLED = 1, 8, 8
 #: Bytes of a window for each word that the next one starts later.
 STRIDE = 10
 #: Bytes of items that are searched for at once.
 BLOCK_BYTES = 8 << 20
 SHORTEST = 16
+LEAST_WINDOW = 24
+#: Length of the byte runs that are counted before an edit distance is found.
+Q, RUN_BITS = 5, 14
 FILTER_BITS = 22
 RUN = 1 << 13  # windows that walk side by side
 
@@ -110,6 +113,18 @@ class Walk:
         return out
 
 
+def run_codes(data: np.ndarray) -> np.ndarray:
+    """Codes of RUN_BITS bits of all runs of Q bytes."""
+    n = len(data) - Q + 1
+    if n <= 0:
+        return np.zeros(0, np.uint16)
+    out = np.zeros(n, np.uint32)
+    for k in range(Q):
+        out *= np.uint32(0x01000193)
+        out += data[k : k + n]
+    return ((out * np.uint32(0x9E3779B1)) >> np.uint32(32 - RUN_BITS)).astype(np.uint16)
+
+
 def edit_distance(item: bytes, text: bytes) -> tuple[int, int]:
     """Least edits between item and any stretch of text, and where that stretch ends (bit-parallel, one step a byte of text)."""
     m = len(item)
@@ -148,9 +163,10 @@ class Items:
         self.short = [k for k, t in enumerate(self.texts) if 0 < len(t) < SHORTEST]
         self.classes = []
         sizes = np.diff(offsets)
+        self.slack = np.maximum(1, sizes * percent // 100)
         for low in sorted({1 << int(n).bit_length() - 1 for n in sizes if n >= SHORTEST}):
             mine = np.flatnonzero((sizes >= low) & (sizes < 2 * low))
-            size = low // 4
+            size = max(LEAST_WINDOW, low // 4)
             buffer = np.concatenate([x for k in mine for x in (data[offsets[k] : offsets[k + 1]], np.zeros(2 * size + 1, np.uint8))])
             starts = np.cumsum([0, *(sizes[mine][:-1] + 2 * size + 1)])
             at = word_starts(buffer)
@@ -169,14 +185,15 @@ class Items:
     def longest(self) -> int:
         return max((c[0] for c in self.classes), default=1)
 
-    def found(self, buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(text, item, place where the item would begin) of candidates."""
+    def found(self, buffer: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Candidates as columns text, item, cell: the item would begin in that cell of the text, as wide as its slack."""
         words = word_starts(buffer)
         of = np.searchsorted(starts, words, side="right") - 1
         number = np.arange(len(words)) - np.searchsorted(words, starts)[of]
         by: dict[tuple[int, int], np.ndarray] = {}
+        out = [np.zeros((3, 0), np.int64)]
         for size, seed, t, known, item, place, marks in self.classes:
-            # A word and its blank are some 6 bytes: windows start about every half of a window.
+            # A word and its blank are some 6 bytes: windows start about every two thirds of a window.
             at = words[number % max(1, size // STRIDE) == 0]
             if (size, seed) not in by:
                 by = {(size, seed): Walk(size, seed).codes(buffer, at)}
@@ -184,27 +201,39 @@ class Items:
             cell = (c >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
             some = np.flatnonzero(marks[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
             a, b = np.searchsorted(known, c[some], side="left"), np.searchsorted(known, c[some], side="right")
-            for w, i, j in zip(some[b > a], a[b > a], b[b > a], strict=True):
-                doc = int(np.searchsorted(starts, at[w], side="right")) - 1
-                for k in range(i, j):
-                    yield doc, int(item[k]), int(at[w] - place[k] - starts[doc])
+            times = b - a
+            w = np.repeat(at[some], times)
+            k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(a, times)
+            doc = np.searchsorted(starts, w, side="right") - 1
+            out.append(np.unique(np.stack([doc, item[k], (w - place[k] - starts[doc]) // self.slack[item[k]]]), axis=1))
+        return np.unique(np.concatenate(out, 1), axis=1).T
+
+    def marked(self, i: int) -> np.ndarray:
+        """By code: whether item i has a run with it."""
+        known = self.__dict__.setdefault("_marked", {})
+        if i not in known:
+            if len(known) > 2048:
+                known.clear()
+            known[i] = np.zeros(1 << RUN_BITS, bool)
+            known[i][run_codes(np.frombuffer(self.texts[i], np.uint8))] = True
+        return known[i]
 
     def matches(self, texts: pa.Array) -> list[tuple[int, int, int, int]]:
         """(text, item, distance, end) for each text and item within the distance, once, at its best place."""
         data, offsets = normal(*text_bytes(texts))
         buffer, starts = padded(data, offsets, 2 * self.longest + 1)
         sizes = np.diff(offsets)
+        runs = run_codes(buffer)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        tried: set[tuple[int, int, int]] = set()
-        for doc, i, place in self.found(buffer, starts, sizes):
-            item = self.texts[i]
-            slack = max(1, len(item) * self.percent // 100)
-            # Places this close lie in one stretch, widened by as much.
-            cell = place // slack
-            if (doc, i, cell) in tried or best.get((doc, i), (1, 0))[0] == 0:
+        for doc, i, cell in self.found(buffer, starts).tolist():
+            if best.get((doc, i), (1, 0))[0] == 0:
                 continue
-            tried.add((doc, i, cell))
+            item, slack = self.texts[i], int(self.slack[i])
             lo, hi = max(0, (cell - 1) * slack), min(int(sizes[doc]), (cell + 2) * slack + len(item))
+            # Each edit spoils Q runs of the item at most; the others are in the stretch.
+            most = len(item) * self.percent // 100
+            if np.count_nonzero(self.marked(i)[runs[starts[doc] + lo : starts[doc] + max(lo, hi - Q + 1)]]) < len(item) - Q + 1 - Q * most:
+                continue
             region = buffer[starts[doc] + lo : starts[doc] + hi].tobytes()
             inside = region.find(item)
             d, end = (0, inside + len(item)) if inside >= 0 else edit_distance(item, region)
