@@ -243,7 +243,7 @@ def unassigned_index(spark, sf):
     return last.select(lots.composite_key(F.col("legal"), F.col("lot")).alias("key"), "id")
 
 
-@query("audit_status", f"""WITH led AS (SELECT *, tong % 3 AS dong FROM {LEDGER}), d AS MATERIALIZED (SELECT legal, lot, (tong + 1 - 1) % 3 AS dong, CASE WHEN id % 4 = 0 THEN tong + 1 ELSE tong END AS tong FROM {ASSIGNED} WHERE tong IS NOT NULL AND id % 5 > 0), p AS MATERIALIZED {PARCEL},
+@query("audit_status", f"""WITH led AS (SELECT *, tong % 3 AS dong FROM {LEDGER}), d AS MATERIALIZED (SELECT legal, lot, tong % 3 AS dong, CASE WHEN id % 4 = 0 THEN tong + 1 ELSE tong END AS tong FROM {ASSIGNED} WHERE tong IS NOT NULL AND ban <> 2), p AS MATERIALIZED {PARCEL},
 l AS (SELECT dong, legal, lot, bool_and(apt) AS only_apt FROM led GROUP BY 1, 2, 3),
 s AS (SELECT l.dong, l.legal, l.lot, CASE WHEN (l.dong, l.legal, l.lot) IN (SELECT (d.dong, d.legal, d.lot) FROM d JOIN led ON led.dong = d.dong AND led.legal = d.legal AND led.lot = d.lot AND led.tong = d.tong) THEN '정확'
  WHEN (l.dong, l.legal, l.lot) IN (SELECT (dong, legal, lot) FROM d) THEN '오배정' WHEN only_apt THEN NULL WHEN (l.legal, l.lot) IN (SELECT (legal, lot) FROM d) THEN '타동'
@@ -251,9 +251,9 @@ s AS (SELECT l.dong, l.legal, l.lot, CASE WHEN (l.dong, l.legal, l.lot) IN (SELE
  WHEN (l.legal, l.lot) IN (SELECT (legal, lot) FROM p) OR (l.legal, split_part(l.lot, '-', 1)) IN (SELECT (legal, split_part(lot, '-', 1)) FROM p) THEN '누락' ELSE '폐번' END AS status FROM l)
 SELECT CAST(dong AS INT) AS dong, legal, lot, status FROM s WHERE status IS NOT NULL""")
 def audit_status(spark, sf):
-    """The map that is audited lacks a fifth of the parcels and has a fourth in a neighbouring unit, so that all outcomes occur."""
+    """The map that is audited lacks all parcels of one ban and has a fourth in a neighbouring unit, so that all outcomes occur."""
     led = ledger(spark, sf).withColumn("dong", F.col("tong") % 3)
-    drawn = assigned(spark, sf).where("tong is not null and id % 5 > 0").withColumn("dong", F.col("tong") % 3).withColumn("tong", F.when(F.col("id") % 4 == 0, F.col("tong") + 1).otherwise(F.col("tong")))
+    drawn = assigned(spark, sf).where("tong is not null and ban <> 2").withColumn("dong", F.col("tong") % 3).withColumn("tong", F.when(F.col("id") % 4 == 0, F.col("tong") + 1).otherwise(F.col("tong")))
     return A.audit(led, drawn, parcels(spark, sf))
 
 
