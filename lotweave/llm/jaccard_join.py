@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotweave.llm import codes
@@ -223,7 +223,7 @@ def candidates(lists: DataFrame, percent: int, long: int) -> DataFrame:
 
 
 def worth_checking(found: DataFrame, percent: int) -> DataFrame:
-    """(x, y) of the pairs that are on enough short lists.
+    """(x, y, times) of the pairs that are on enough short lists.
 
     Of two sets that reach T, one's listed shingles that the other has are all listed of both; so they share at least T - L short
     lists, L being the larger set's number of unlisted shingles. Lists that weren't paired off in full count in their favour.
@@ -236,7 +236,7 @@ def worth_checking(found: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.withColumn("lacks", least - unlisted - F.col("times"))
     sure = pairs.where("lacks <= 0")
     rest = pairs.where("lacks > 0").join(spare.select(F.col("node").alias("x"), F.col("spare").alias("sx")), "x").join(spare.select(F.col("node").alias("y"), F.col("spare").alias("sy")), "y")
-    return sure.select("x", "y").unionByName(rest.where("lacks <= least(sx, sy)").select("x", "y"))
+    return sure.select("x", "y", "times").unionByName(rest.where("lacks <= least(sx, sy)").select("x", "y", "times"))
 
 
 def needed_column(both, percent: int):
@@ -421,7 +421,15 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
 
     some = map_texts(df, key, text, items, "n bigint, a bigint, b bigint, items binary")
     sets = durable(some.join(asked, ["n", "a", "b"]).groupBy("node").agg(F.first("items").alias("items")))
-    links = durable(checked(pairs, sets, percent))
+    # The pair of each set that shares most lists comes first; that leaves few others between different components.
+    best = Window.partitionBy("x").orderBy(F.desc("times"), "y")
+    ranked = pairs.withColumn("first", F.row_number().over(best) == 1)
+    links = durable(checked(ranked.where("first").select("x", "y"), sets, percent))
+    roots = durable(stars(links))
+    label = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    rest = ranked.where("not first").join(label("x"), "x", "left").join(label("y"), "y", "left")
+    rest = durable(rest.where(F.coalesce("root_x", "x") != F.coalesce("root_y", "y")).select("x", "y"))
+    links = durable(links.unionByName(checked(rest, sets, percent)))
     roots = stars(links)
     more = long_lists(members, roots, sets, percent, block)
     if more is not None:
