@@ -45,8 +45,18 @@ def _range(prefix: Column, low: Column, high: Column) -> Column:
     return F.when(low <= top, F.transform(F.sequence(low, top), lambda n: F.concat(prefix, n.cast("string")))).otherwise(F.array().cast(_NONE))
 
 
-def expand_part(p: Column) -> Column:
-    """Lots of a spec without middle dots; null if it can't be read, empty for a range that runs backwards."""
+def only_if(a: Column, good) -> Column:
+    """a if it is good, else null; a is evaluated once, also inside other functions' lambdas."""
+    return F.get(F.filter(F.array(a), good), F.lit(0))
+
+
+def expand_part(p: Column, mode: str = "current") -> Column:
+    """Lots of a spec without middle dots; null if it can't be read, empty for a range that runs backwards.
+
+    mode, for comparisons with earlier readings: older leaves backward ranges of main numbers empty and takes a range across main
+    numbers as its two ends and what lies between; oldest can't read a range with two sub numbers and refuses no
+    long one (it lists as many as just exceed the cap).
+    """
     shape = r"^(\d+)(?:-(\d+))?~(\d+)(?:-(\d+))?$"
     a, sub_a, b, sub_b = (F.regexp_extract(p, shape, k) for k in (1, 2, 3, 4))
     na, nb, nsa, nsb = map(_number, (a, b, sub_a, sub_b))
@@ -55,17 +65,25 @@ def expand_part(p: Column) -> Column:
     same = _range(F.concat(a, F.lit("-")), nsa, nsb)
     first = F.when(nsa <= 1, one(a)).otherwise(_range(F.concat(a, F.lit("-")), nsa, F.lit(OPEN_END).cast("bigint")))
     across = F.concat(first, _range(bare, na + 1, nb - 1), _range(F.concat(b, F.lit("-")), F.lit(1).cast("bigint"), nsb))
+    backwards = one(F.concat(a, F.lit("-"), b)) if mode == "current" else F.array().cast(_NONE)
+    both = F.when(a == b, same).otherwise(across)
+    if mode == "older":
+        ends = F.array(F.concat(a, F.lit("-"), sub_a), F.concat(b, F.lit("-"), sub_b))
+        both = F.when(a == b, same).otherwise(F.concat(ends, _range(bare, na + 1, nb - 1)))
+    elif mode == "oldest":
+        both = F.lit(None).cast(_NONE)
     out = (
         F.when((sub_a != "") & (sub_b == ""), _range(F.concat(a, F.lit("-")), nsa, nb))
-        .when((sub_a == "") & (sub_b == ""), F.when(na > nb, one(F.concat(a, F.lit("-"), b))).otherwise(_range(bare, na, nb)))
+        .when((sub_a == "") & (sub_b == ""), F.when(na > nb, backwards).otherwise(_range(bare, na, nb)))
         .when(sub_a == "", F.concat(_range(bare, na, nb), one(F.concat(b, F.lit("-"), sub_b))))
-        .otherwise(F.when(a == b, same).otherwise(across))
+        .otherwise(both)
     )
-    out = F.when(F.size(out) <= MOST, out)
-    return F.when(~p.contains("~"), one(p)).when(p.rlike(shape), out)
+    if mode == "oldest":
+        return F.when(~p.contains("~"), one(p)).when(p.rlike(shape), out)
+    return F.when(~p.contains("~"), one(p)).when(p.rlike(shape), only_if(out, lambda x: F.size(x) <= MOST))
 
 
-def expand_spec(core: Column, mountain: Column) -> Column:
+def expand_spec(core: Column, mountain: Column, mode: str = "current") -> Column:
     """Lots of a spec such as 169-35~40 or 256-1ㆍ2ㆍ3; null if it can't be read, empty for nothing.
 
     After a middle dot, parts without a hyphen take the main number of the first part.
@@ -74,9 +92,9 @@ def expand_spec(core: Column, mountain: Column) -> Column:
     base = F.split_part(F.get(parts, F.lit(0)), F.lit("-"), F.lit(1))
     hyphen = F.get(parts, F.lit(0)).contains("-")
     full = F.transform(F.arrays_zip(parts.alias("p"), F.transform(parts, lambda _: base).alias("b"), F.transform(parts, lambda _: hyphen).alias("h")), lambda x: F.when(x["h"] & ~x["p"].contains("-"), F.concat(x["b"], F.lit("-"), x["p"])).otherwise(x["p"]))
-    lots = F.transform(full, expand_part)
-    many = F.when(~F.exists(lots, lambda x: x.isNull()), F.flatten(lots))
-    out = F.when(core == "", F.array().cast(_NONE)).when(core.contains(DOT), many).otherwise(expand_part(core))
+    lots = F.transform(full, lambda p: expand_part(p, mode))
+    many = F.flatten(only_if(lots, lambda parts: ~F.exists(parts, lambda x: x.isNull())))
+    out = F.when(core == "", F.array().cast(_NONE)).when(core.contains(DOT), many).otherwise(expand_part(core, mode))
     return F.when(mountain, F.transform(out, lambda x: F.concat(F.lit(MOUNTAIN), x))).otherwise(out)
 
 
@@ -209,3 +227,58 @@ def buildings(s: Column) -> Column:
     ends = F.filter(ends, lambda x: x["a"] <= x["b"])
     out = F.concat(out, F.flatten(F.transform(ends, lambda x: F.transform(F.sequence(x["a"], x["b"]), lambda n: F.chr(n)))))
     return F.array_sort(F.array_distinct(out))
+
+
+# The first lot of a text with its district, and what isn't part of a complex's name.
+FIRST_LOT = r"([가-힣]{2,4}[동리])\s*(산?\d+(?:-\d+)?)"
+NOT_OF_NAME = ("[()（）]", " "), (r"^[가-힣]{2,4}[동리]\s*", ""), (r"\d+동.*$", ""), (r"\d+호.*$", ""), (r"산?\d[\d\-~ㆍ]*", ""), ("상가|아파트|유치원|,", "")
+NICE = (50, 100, 200, 300, 500, 1000, 2000, 3000, 5000)
+
+
+def first_lot(s: Column, districts: list[str]) -> Column:
+    """struct(legal, lot) of the first lot in a text, if its district is known."""
+    found = F.struct(F.regexp_extract(s, FIRST_LOT, 1).alias("legal"), F.regexp_extract(s, FIRST_LOT, 2).alias("lot"))
+    return F.when(found["legal"].isin(districts), found)
+
+
+def all_lots(s: Column, districts: list[str]) -> Column:
+    """All lots of a text with known districts, as structs."""
+    every = F.zip_with(F.regexp_extract_all(s, F.lit(FIRST_LOT), F.lit(1)), F.regexp_extract_all(s, F.lit(FIRST_LOT), F.lit(2)), lambda a, b: F.struct(a.alias("legal"), b.alias("lot")))
+    return F.filter(every, lambda x: x["legal"].isin(districts))
+
+
+def cluster_name(s: Column) -> Column:
+    """What identifies a complex in a ledger text, without district, buildings, units, lots, blanks and a final 차."""
+    for pattern, to in NOT_OF_NAME:
+        s = F.regexp_replace(s, pattern, to)
+    return F.regexp_replace(F.trim(s), r"[\s·~（）]|시흥장현|차$", "")
+
+
+def nice_number(v: Column) -> Column:
+    """The round length closest to v, the smaller on ties."""
+    return F.array_min(F.array(*[F.struct(F.abs(F.lit(float(x)) - v).alias("d"), F.lit(x).alias("v")) for x in NICE]))["v"]
+
+
+def territory_pairs(s: Column) -> Column:
+    """structs (legal, lot) of a territory text: parentheses go, a district needs a blank before its lots and holds until the next."""
+    text = F.regexp_replace(normalize_text(s), r"\([^)]*\)", "")
+    tokens = F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != "")
+    pattern = r"^([가-힣]{2,4}[동리])\s+(.+)$"
+    start = F.struct(F.lit("").alias("legal"), F.array().cast("array<struct<legal:string,spec:string>>").alias("out"))
+
+    def step(acc: Column, t: Column) -> Column:
+        legal = F.when(t.rlike(pattern), F.regexp_extract(t, pattern, 1)).otherwise(acc["legal"])
+        spec = F.when(t.rlike(pattern), F.regexp_extract(t, pattern, 2)).otherwise(t)
+        entry = F.array(F.struct(legal.alias("legal"), F.btrim(spec, F.lit(" ,")).alias("spec")))
+        return F.struct(legal.alias("legal"), F.when(legal != "", F.concat(acc["out"], entry)).otherwise(acc["out"]).alias("out"))
+
+    specs = F.aggregate(tokens, start, step, lambda acc: acc["out"])
+    none = F.array().cast("array<struct<legal:string,lot:string>>")
+
+    def lots_of(x: Column) -> Column:
+        mountain = x["spec"].startswith(MOUNTAIN)
+        core = F.trim(F.when(mountain, F.substr(x["spec"], F.lit(2))).otherwise(x["spec"]))
+        zipped = F.transform(F.coalesce(expand_spec(core, mountain), F.array().cast(_NONE)), lambda lot: F.struct(x["legal"].alias("legal"), lot.alias("lot")))
+        return F.coalesce(zipped, none)
+
+    return F.flatten(F.transform(specs, lots_of))

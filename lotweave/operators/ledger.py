@@ -51,7 +51,7 @@ def expand_ledger(ledger: DataFrame, districts: list[str] | Column, row: str = "
     core = F.btrim(F.when(mountain, F.substr(w, F.lit(2))).otherwise(w), F.lit("-~ㆍ"))
     words = words.withColumn("_core", core).withColumn("_mr", mountain_range).withColumn("_m", mountain)
     found = F.when(F.col("_mr"), lots.expand_mountain_range(w)).when(w.isNotNull(), lots.expand_spec(F.col("_core"), F.col("_m")))
-    words = words.withColumn("_lots", F.when(F.size(found) > 0, found))
+    words = words.withColumn("_found", found).withColumn("_lots", F.when(F.size("_found") > 0, F.col("_found")))
     # What a word leaves for the next ones: '' forgets, a number is remembered, null changes nothing.
     bon = F.coalesce(F.split_part("_core", F.lit("-"), F.lit(1)).try_cast("bigint").cast("string"), F.lit(""))
     leaves = F.when(F.col("_mr"), "").when(F.col("_lots").isNull(), None).when(F.col("_m"), "").when(F.col("_core").contains("-"), bon)

@@ -9,7 +9,7 @@ from lotweave.functions import lots
 
 # Tokens that end a complex's name; names that aren't homes; where a building's note ends.
 LOT_LIKE = r"^(산?\d[\d\-～~ㆍ·,]*(외)?|\d+필지|외)$"
-NON_HOME = r"어린이집|유치원|경로당|관리사무소|상가|주차|교회|노인정|부속"
+NON_HOME = r"유치원|초등학교|중학교|고등학교|어린이집|주민센터|행정복지|상사|산업|교회|성당|병원|의원|시장|주유소|센터$|상가$"
 UNIT_NOTE = r"(\d+)\s*동\s*([^,，()]*?)(?=(?:\d+\s*동)|[,，()]|$)"
 
 
@@ -56,7 +56,6 @@ def match_aliases(names: DataFrame, candidates: DataFrame) -> DataFrame:
     met = met.withColumn("good", (F.col("form") != "") & (F.col("hit") | ~F.col("official").rlike(NON_HOME) | F.col("name").rlike(NON_HOME)))
     good = F.col("good")
     entry = F.struct("n", "form", "official")
-    similar = F.max_by(entry, F.struct(lots.bigram_similarity(F.col("key"), F.col("form")), -F.col("n")))
     gathered = met.groupBy("id").agg(
         F.collect_list(F.when(good & F.col("hit") & (F.col("form") != F.col("key")), entry)).alias("by_lot"),
         F.collect_list(F.when(good & lots.contains_either_way(F.col("key"), F.col("form")), entry)).alias("by_name"),
@@ -64,8 +63,6 @@ def match_aliases(names: DataFrame, candidates: DataFrame) -> DataFrame:
         F.max(F.coalesce(good, F.lit(False))).alias("some"),
         F.max_by(entry, F.when(good, F.struct(lots.bigram_similarity(F.col("key"), F.col("form")), -F.col("n")))).alias("similar"),
     )
-    del similar
-
     def distinct(c):  # by form, the first of each
         s = F.array_sort(c)
         return F.filter(s, lambda x: ~F.exists(F.filter(s, lambda y: y["n"] < x["n"]), lambda y: y["form"] == x["form"]))
@@ -132,3 +129,41 @@ def waterfall(units: DataFrame, *sources: DataFrame, key: str = "tong") -> DataF
     for k, s in enumerate(sources):
         out = out.join(s.select(key, F.struct("legal", "lot", F.lit(k).alias("source")).alias(f"_{k}")), key, "left")
     return out.withColumn("_w", F.coalesce(*[f"_{k}" for k in range(len(sources))])).select(*units.columns, "_w.legal", "_w.lot", "_w.source")
+
+
+def known_lots(rows: DataFrame, overrides: DataFrame, districts: list[str], text: str = "area") -> DataFrame:
+    """(code, name, lots): lots that the ledger's rows with buildings, or confirmed entries, give for a complex.
+
+    rows: (code, text); overrides: (code, apt_name, lot).
+    """
+    t = F.col(text)
+    edge = r"(?:^|[\s(（])"
+    first = F.least(*[F.nullif(F.coalesce(F.regexp_instr(t, F.lit(p)), F.lit(0)), F.lit(0)) for p in (r"\d+\s*동", edge + f"[{lots.BUILDING_LETTERS}]동", edge + "[A-Za-z]동")])
+    head = F.substring(t, F.lit(1), first - 1)
+    said = rows.select("code", head.alias("_h")).where("_h is not null").withColumn("name", lots.search_name(complex_name(F.col("_h"), districts))).where("name <> ''")
+    said = said.select("code", "name", F.explode(lots.all_lots(F.col("_h"), districts)).alias("x")).select("code", "name", "x.lot")
+    every = said.unionByName(overrides.select("code", lots.search_name(F.col("apt_name")).alias("name"), F.trim("lot").alias("lot")))
+    return every.groupBy("code", "name").agg(F.array_sort(F.collect_set("lot")).alias("lots"))
+
+
+def lookup(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (legal, lot) with what the index has for the lot, or for the same lot with a 산 before it."""
+    exact = asked.join(index, ["legal", "lot"], "left_semi").withColumn("found", F.col("lot"))
+    rest = asked.join(exact.select("legal", "lot"), ["legal", "lot"], "left_anti").withColumn("found", F.concat(F.lit(lots.MOUNTAIN), F.col("lot")))
+    values = [c for c in index.columns if c not in ("legal", "lot")]
+    return exact.unionByName(rest).join(index.withColumnRenamed("lot", "found"), ["legal", "found"], "left").select("legal", "lot", *values)
+
+
+def review_rows(missing: DataFrame, fragments: DataFrame, omissions: DataFrame) -> DataFrame:
+    """(kind, dong, tong, n, d, detail) of all findings, with their place in the report: missing units, omitted lots, then fragments from the farthest."""
+    none = lambda t: F.lit(None).cast(t)
+    a = missing.select(F.lit("미표시").alias("kind"), "dong", "tong", none("bigint").alias("n"), none("bigint").alias("d"), F.col("reason").alias("detail"))
+    b = fragments.select(F.concat(F.lit("분리/"), lots.grade(F.col("n"))).alias("kind"), "dong", "tong", "n", F.bround("d").cast("bigint").alias("d"), F.array_join(F.slice("lots", 1, 15), " / ").alias("detail"))
+    c = omissions.groupBy("dong", "tong").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("lot")), 1, 15), " / ").alias("detail"))
+    c = c.select(F.lit("누락").alias("kind"), "dong", "tong", "n", none("bigint").alias("d"), "detail")
+    return a.unionByName(b).unionByName(c)
+
+
+def review_order() -> list[Column]:
+    kind = F.col("kind")
+    return [F.when(kind == "미표시", 0).when(kind == "누락", 1).otherwise(3), F.desc(F.coalesce("d", F.lit(0))), F.col("dong"), F.col("tong")]

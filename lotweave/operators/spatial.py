@@ -275,3 +275,96 @@ def half_plane_split(boxes: DataFrame, line: Column) -> DataFrame:
     north = F.greatest(F.lit(0.0), F.col("maxy") - F.greatest(F.col("miny"), line)) * width
     parts = F.array(F.struct(F.lit("s").alias("part"), south.alias("area")), F.struct(F.lit("n").alias("part"), north.alias("area")))
     return boxes.select("box", F.inline(parts)).where("area > 0")
+
+
+def assign_blocks(blocks: DataFrame, parcels: DataFrame, size: float, least_n: int = 2, least_share: float = 0.10, least: float = 2.0) -> DataFrame:
+    """(block, tong, kind, area): street blocks given to the units of the parcels in them.
+
+    blocks: (block, area, minx, miny, maxx, maxy, geom); parcels: (id, x, y, tong, area). Blocks with few parcels are left out; one
+    unit takes the whole block (single); several share it by the nearest parcel (mixed).
+    """
+    where = points_in_polygons(parcels.select("id", "x", "y"), blocks.select(F.col("block").alias("box"), "minx", "miny", "maxx", "maxy", "geom"), size)
+    inside = where.join(parcels, "id").withColumnRenamed("box", "block")
+    good = coverage(blocks.select("block", "area"), inside.select("block", "area"), least_n, least_share).select("block")
+    units = inside.join(good, "block").groupBy("block").agg(F.min("tong").alias("lo"), F.max("tong").alias("hi"))
+    single = units.where("lo = hi").join(blocks, "block").select("block", F.col("lo").alias("tong"), F.lit("single").alias("kind"), "area")
+    several = units.where("lo < hi").select("block")
+    cut = voronoi_split(blocks.join(several, "block", "left_semi").select("block", "geom"), inside.join(several, "block", "left_semi").select("block", F.col("tong").alias("label"), "x", "y"), "block", 0.0)
+    mixed = cut.groupBy("block", "label").agg(F.sum("area").alias("area")).where(F.col("area") >= least)
+    return single.unionByName(mixed.select("block", F.col("label").alias("tong"), F.lit("mixed").alias("kind"), "area"))
+
+
+def carve(units: DataFrame, key: str, holes: DataFrame) -> DataFrame:
+    """(key, geom): each unit's pieces without the convex holes (key, geom) that concern it; units without holes stay whole."""
+
+    def run(u: pa.Table, h: pa.Table) -> pa.Table:
+        pieces = [p[0] for g in _rings(u) for p in g] if len(u) else []
+        for g in _rings(h) if len(h) else []:
+            for hole in g:
+                pieces = [r for p in pieces for r in shapes.subtract_convex(p, hole[0])]
+        name = u.column(key)[0].as_py() if len(u) else None
+        return pa.table({key: pa.array([name] * len(pieces), u.schema.field(key).type), "geom": pa.array([shapes.to_wkb([p]) for p in pieces], pa.binary())})
+
+    return units.groupBy(key).cogroup(holes.groupBy(key)).applyInArrow(run, f"`{key}` {dict(units.dtypes)[key]}, geom binary")
+
+
+def split_parcels(parcels: DataFrame, buildings: DataFrame) -> DataFrame:
+    """Parcels (legal, lot, tong, ban, geom) with those that have buildings (legal, lot, x, y, tong) replaced by the parts nearest to each unit's buildings.
+
+    Parts of another unit than the parcel's have ban 0.
+    """
+    key = F.concat_ws("|", "legal", "lot")
+    named = parcels.withColumn("_k", key)
+    sites = buildings.select(key.alias("_k"), F.col("tong").alias("label"), "x", "y")
+    hit = named.join(sites.select("_k").distinct(), "_k", "left_semi")
+    parts = voronoi_split(hit.select("_k", "geom"), sites.join(hit.select("_k").distinct(), "_k", "left_semi"), "_k", 0.0)
+    proto = hit.groupBy("_k").agg(F.min_by(F.struct("legal", "lot", "tong", "ban"), F.struct("tong", "ban")).alias("p"))
+    new = parts.join(proto, "_k").select("p.legal", "p.lot", F.col("label").alias("tong"), F.when(F.col("label") == F.col("p.tong"), F.col("p.ban")).otherwise(0).alias("ban"), "geom")
+    return named.join(sites.select("_k").distinct(), "_k", "left_anti").select("legal", "lot", "tong", "ban", "geom").unionByName(new)
+
+
+def unit_layer(parcels: DataFrame, key: str) -> DataFrame:
+    """(key, geom, area, x, y): each unit's boundary from its tiling parcels, with a point inside for its label."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rings = shapes.dissolve([p[0] for g in _rings(table) for p in g])
+        outer = sorted((r for r in rings if shapes.ring_area(r) > 0), key=shapes.ring_area, reverse=True)
+        polygons = [[r] for r in outer]
+        for hole in (r for r in rings if shapes.ring_area(r) < 0):
+            home = [p for p in polygons if shapes.contains([p[0]], hole[:1] + 1e-9)[0]]
+            (home[-1] if home else polygons[0]).append(hole)
+        x, y = shapes.inner_point(polygons[0])
+        geom = shapes.to_wkb(polygons[0]) if len(polygons) == 1 else shapes.to_multi(polygons)
+        return pa.table({key: table.column(key).slice(0, 1), "geom": pa.array([geom], pa.binary()), "area": pa.array([sum(map(shapes.area, polygons))], pa.float64()), "x": pa.array([x], pa.float64()), "y": pa.array([y], pa.float64())})
+
+    return parcels.groupBy(key).applyInArrow(run, f"`{key}` {dict(parcels.dtypes)[key]}, geom binary, area double, x double, y double")
+
+
+def map_geometry(df: DataFrame, kernel, geom: str = "geom") -> DataFrame:
+    """df with its polygons through a kernel (polygons -> polygons): clean, simplify, project. Empty results are null."""
+    at = df.columns.index(geom)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for g in b.column(at).to_pylist():
+                p = kernel(shapes.from_wkb(g)) if g is not None else []
+                out.append(None if not p else shapes.to_wkb(p[0]) if len(p) == 1 else shapes.to_multi(p))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()) if k == at else c for k, c in enumerate(b.columns)], names=b.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def clean_units(df: DataFrame, least_part: float = 500.0, largest_hole: float = 3000.0) -> DataFrame:
+    return map_geometry(df, lambda p: shapes.clean(p, least_part, largest_hole))
+
+
+def simplify_units(df: DataFrame, tolerance: float = 8.0) -> DataFrame:
+    return map_geometry(df, lambda p: [[shapes.simplify_ring(r, tolerance) for r in rings] for rings in p])
+
+
+def project_units(df: DataFrame, to_degrees: bool = True) -> DataFrame:
+    from lotweave.geometry import projection
+
+    f = projection.to_degrees if to_degrees else projection.to_metres
+    return map_geometry(df, lambda p: [[np.stack(f(r[:, 0], r[:, 1]), 1) for r in rings] for rings in p])

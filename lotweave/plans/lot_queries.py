@@ -264,3 +264,21 @@ SELECT free.legal, free.bon, n, array_to_string(sample, ',') AS sample, coalesce
 def anomaly_scan(spark, sf):
     text = lambda c: F.concat_ws(",", F.col(c).cast("array<string>")).alias(c)
     return A.anomalies(ledger(spark, sf), assigned(spark, sf)).select("legal", "bon", "n", text("sample"), text("tongs"), text("bare"))
+
+
+@query("territory_pairs")
+def territory_pairs(spark, sf):
+    """Checked in tests against plain Python."""
+    said = frame(spark, sf, "spec").selectExpr(*ORDER, f"{_SAID} AS w", "l_partkey AS row_no")
+    rows = said.groupBy("row_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, "w"))), lambda x: x["w"]), ", ").alias("area"))
+    return rows.select("row_no", F.posexplode(lots.territory_pairs(F.col("area"))).alias("at", "p")).select("row_no", "at", "p.*")
+
+
+@query("spec_readings", f"""WITH s AS {sql("spec")}, f AS (SELECT *, strpos(core, '~') = 0 AS plain, regexp_extract(core, '^([0-9]+)(?:-([0-9]+))?~([0-9]+)(?:-([0-9]+))?$', ['a', 'sa', 'b', 'sb']) AS m FROM s WHERE strpos(core, 'ㆍ') = 0),
+n AS (SELECT *, try_cast(m.a AS BIGINT) AS na, try_cast(m.b AS BIGINT) AS nb, try_cast(m.sa AS BIGINT) AS nsa, try_cast(m.sb AS BIGINT) AS nsb FROM f)
+SELECT {", ".join(ORDER)}, core, CAST(CASE WHEN plain THEN 1 WHEN m.sa <> '' AND m.sb = '' THEN greatest(0, nb - nsa + 1) WHEN m.sa = '' AND m.sb = '' THEN CASE WHEN nb - na >= 2000 THEN NULL ELSE greatest(0, nb - na + 1) END WHEN m.sa = '' THEN nb - na + 2 WHEN na = nb THEN nsb - nsa + 1 ELSE 2 + nb - na - 1 END AS INT) AS n_older,
+ CAST(CASE WHEN plain THEN 1 WHEN m.sa <> '' AND m.sb = '' THEN greatest(0, nb - nsa + 1) WHEN m.sa = '' AND m.sb = '' THEN greatest(0, nb - na + 1) WHEN m.sa = '' THEN nb - na + 2 END AS INT) AS n_oldest FROM n""")
+def spec_readings(spark, sf):
+    """How many lots two earlier readings find in specs without middle dots."""
+    s = frame(spark, sf, "spec").where(~F.col("core").contains(lots.DOT))
+    return s.select(*ORDER, "core", *[F.size(lots.expand_spec(F.col("core"), F.lit(False), m)).alias(f"n_{m}") for m in ("older", "oldest")])

@@ -192,3 +192,49 @@ def circular_distance(spark, sf):
 @query("fragment_grades", "SELECT l_orderkey, count(*) AS n, CASE WHEN count(*) * 5 <= 10 THEN '지번오류의심' WHEN count(*) * 5 <= 60 THEN '블록분리' ELSE '과대확장의심' END AS grade FROM lineitem GROUP BY 1")
 def fragment_grades(spark, sf):
     return read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).withColumn("grade", lots.grade(F.col("n") * 5))
+
+
+_LOT = "([가-힣]{2,4}[동리])\\s*(산?[0-9]+(?:-[0-9]+)?)"
+
+
+@query("first_lot", f"SELECT id, CASE WHEN l IN ('가람동', '나래동') THEN l ELSE '' END AS legal, CASE WHEN l IN ('가람동', '나래동') THEN lot ELSE '' END AS lot FROM (SELECT p_partkey AS id, regexp_extract(s, '{_LOT}', 1) AS l, regexp_extract(s, '{_LOT}', 2) AS lot FROM (SELECT p_partkey, {_AREA} AS s FROM part))")
+def first_lot(spark, sf):
+    t = read(spark, sf, "part").selectExpr("p_partkey AS id", f"{_AREA} AS s").withColumn("x", lots.first_lot(F.col("s"), ["가람동", "나래동"]))
+    return t.select("id", F.coalesce("x.legal", F.lit("")).alias("legal"), F.coalesce("x.lot", F.lit("")).alias("lot"))
+
+
+@query("cluster_name", f"""SELECT p_partkey AS id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '[()（）]', ' ', 'g'), '^[가-힣]{{2,4}}[동리]\\s*', ''), '[0-9]+동.*$', ''), '[0-9]+호.*$', ''), '산?[0-9][0-9~ㆍ-]*', '', 'g'), '상가|아파트|유치원|,', '', 'g')), '[\\s·~（）]|시흥장현|차$', '', 'g') AS name FROM (SELECT p_partkey, {_AREA} AS s FROM part)""")
+def cluster_name(spark, sf):
+    t = read(spark, sf, "part").selectExpr("p_partkey AS id", f"{_AREA} AS s")
+    return t.select("id", lots.cluster_name(F.col("s")).alias("name"))
+
+
+@query("nice_number", "SELECT o_orderkey AS id, CAST(arg_min(v, abs(v - o_totalprice / 50) + v * 1e-12) AS INT) AS nice FROM orders, (SELECT unnest([50, 100, 200, 300, 500, 1000, 2000, 3000, 5000]) AS v) GROUP BY 1")
+def nice_number(spark, sf):
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), lots.nice_number(F.col("o_totalprice") / 50).alias("nice"))
+
+
+@query("known_lots", f"""WITH t AS (SELECT CAST(p_partkey % 20 AS VARCHAR) AS code, {_AREA} AS s, p_brand FROM part), h AS (SELECT code, CASE WHEN strpos(s, ' A동') > 0 THEN s[:strpos(s, ' A동')] END AS h, p_brand FROM t)
+SELECT code, lower(p_brand) AS name, array_to_string(list_sort(list(DISTINCT regexp_extract(h, '{_LOT}', 2))), ',') AS lots FROM h WHERE h IS NOT NULL GROUP BY 1, 2""")
+def known_lots(spark, sf):
+    t = read(spark, sf, "part").selectExpr("CAST(p_partkey % 20 AS STRING) AS code", f"{_AREA} AS area")
+    none = spark.createDataFrame([], "code string, apt_name string, lot string")
+    return N.known_lots(t, none, ["가람동", "나래동"]).where(F.size("lots") > 0).select("code", "name", F.array_join("lots", ",").alias("lots"))
+
+
+@query("lookup", f"""WITH i AS MATERIALIZED (SELECT legal, lot, min(tong) AS tong FROM {LEDGER} GROUP BY 1, 2), a AS (SELECT DISTINCT legal, regexp_replace(lot, '^산', '') AS lot FROM {PARCEL})
+SELECT a.legal, a.lot, coalesce(e.tong, CASE WHEN e.lot IS NULL THEN m.tong END) AS tong FROM a LEFT JOIN i e ON e.legal = a.legal AND e.lot = a.lot LEFT JOIN i m ON m.legal = a.legal AND m.lot = '산' || a.lot""")
+def lookup(spark, sf):
+    index = ledger(spark, sf).groupBy("legal", "lot").agg(F.min("tong").alias("tong"))
+    asked = parcels(spark, sf).select("legal", F.regexp_replace("lot", "^산", "").alias("lot")).distinct()
+    return N.lookup(index, asked)
+
+
+@query("review_report", f"""WITH l AS MATERIALIZED {LEDGER}, a AS (SELECT '미표시' AS kind, tong % 3 AS dong, tong, NULL::BIGINT AS n, NULL::BIGINT AS d, 'r' AS detail FROM (SELECT DISTINCT tong FROM l)),
+f AS (SELECT tong % 3 AS dong, tong, count(*) * 3 AS n, sum(ban) AS d, array_to_string(list_sort(list(DISTINCT lot))[:15], ' / ') AS detail FROM l WHERE apt GROUP BY tong, legal),
+b AS (SELECT '분리/' || CASE WHEN n <= 10 THEN '지번오류의심' WHEN n <= 60 THEN '블록분리' ELSE '과대확장의심' END AS kind, dong, tong, n, CAST(d AS BIGINT) AS d, detail FROM f),
+c AS (SELECT '누락' AS kind, tong % 3 AS dong, tong, count(*) AS n, NULL::BIGINT AS d, array_to_string(list_sort(list(lot))[:15], ' / ') AS detail FROM l GROUP BY 2, 3) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
+def review_report(spark, sf):
+    l = ledger(spark, sf).withColumn("dong", F.col("tong") % 3)
+    fragments = l.where("apt").groupBy("dong", "tong", "legal").agg((F.count("*") * 3).alias("n"), F.sum("ban").alias("d"), F.array_sort(F.collect_set("lot")).alias("lots"))
+    return N.review_rows(l.select("dong", "tong").distinct().withColumn("reason", F.lit("r")), fragments, l.select("dong", "tong", "lot"))

@@ -126,3 +126,40 @@ def test_spatial_operators_take_empty_tables(spark, name):
         return
     f = getattr(S, name)
     assert f(none, some, 5.0).count() == 0 and f(some, none, 5.0).count() == 0
+
+
+def wkb(*box):
+    x1, y1, x2, y2 = box
+    return bytearray(shapes.to_wkb([np.array([[x1, y1], [x2, y1], [x2, y2], [x1, y2]], float)]))
+
+
+def test_blocks_buildings_and_carving(spark):
+    blocks = spark.createDataFrame([(k, 100.0, 10.0 * k, 0.0, 10.0 * k + 10, 10.0, wkb(10 * k, 0, 10 * k + 10, 10)) for k in range(4)], "block int, area double, minx double, miny double, maxx double, maxy double, geom binary")
+    parcels = [(1, 2.0, 5.0, 7, 20.0), (2, 4.0, 5.0, 7, 20.0), (3, 12.0, 5.0, 7, 20.0), (4, 18.0, 5.0, 8, 20.0), (5, 22.0, 5.0, 9, 90.0), (6, 32.0, 5.0, 9, 1.0), (7, 33.0, 5.0, 9, 1.0)]
+    got = sorted(map(tuple, S.assign_blocks(blocks, spark.createDataFrame(parcels, "id int, x double, y double, tong int, area double"), 10.0).collect()))
+    assert got == [(0, 7, "single", 100.0), (1, 7, "mixed", 50.0), (1, 8, "mixed", 50.0)]
+    lots = spark.createDataFrame([("a", "1", 3, 2, wkb(0, 0, 10, 10)), ("a", "2", 3, 2, wkb(10, 0, 20, 10))], "legal string, lot string, tong int, ban int, geom binary")
+    at = spark.createDataFrame([("a", "1", 2.0, 5.0, 3), ("a", "1", 8.0, 5.0, 4), ("b", "9", 8.0, 5.0, 4)], "legal string, lot string, x double, y double, tong int")
+    parts = sorted((r.lot, r.tong, r.ban, round(sum(map(shapes.area, shapes.from_wkb(bytes(r.geom)))), 6)) for r in S.split_parcels(lots, at).collect())
+    assert parts == [("1", 3, 2, 50.0), ("1", 4, 0, 50.0), ("2", 3, 2, 100.0)]
+    units = spark.createDataFrame([(1, wkb(0, 0, 10, 10)), (2, wkb(20, 0, 30, 10))], "tong int, geom binary")
+    holes = spark.createDataFrame([(1, wkb(2, 2, 4, 20))], "tong int, geom binary")
+    left = S.carve(units, "tong", holes).collect()
+    area = {t: round(sum(shapes.area(p) for r in left if r.tong == t for p in shapes.from_wkb(bytes(r.geom))), 6) for t in (1, 2)}
+    assert area == {1: 84.0, 2: 100.0}
+
+
+def test_unit_layer_and_mapped_geometry(spark):
+    tiles = [(1, wkb(10 * i, 10 * j, 10 * i + 10, 10 * j + 10)) for i in range(3) for j in range(3) if (i, j) != (1, 1)] + [(2, wkb(100, 0, 110, 10)), (2, wkb(200, 0, 230, 10))]
+    layer = S.unit_layer(spark.createDataFrame(tiles, "tong int, geom binary"), "tong")
+    got = {r.tong: r for r in layer.collect()}
+    assert got[1].area == 800 and [len(p) for p in shapes.from_wkb(bytes(got[1].geom))] == [2]
+    assert got[2].area == 400 and len(shapes.from_wkb(bytes(got[2].geom))) == 2
+    for r in got.values():
+        assert any(shapes.contains(p, np.array([[r.x, r.y]]))[0] for p in shapes.from_wkb(bytes(r.geom)))
+    filled = {r.tong: shapes.from_wkb(bytes(r.geom)) for r in S.clean_units(layer, 150, 3000).collect()}
+    assert len(filled[1][0]) == 1 and len(filled[2]) == 1
+    simple = {r.tong: shapes.from_wkb(bytes(r.geom)) for r in S.simplify_units(layer, 1.0).collect()}
+    assert len(simple[1][0][0]) == 4 and abs(shapes.area(simple[1][0]) - 800) < 1e-9
+    there = S.project_units(S.project_units(layer), to_degrees=False).where("tong = 2").first()
+    assert abs(sum(map(shapes.area, shapes.from_wkb(bytes(there.geom)))) - 400) < 1e-3

@@ -149,3 +149,20 @@ def test_group_paragraphs_and_labels(spark):
     assert [(r.block, r.text) for r in L.group_paragraphs(df, "c", "o", "t").orderBy("block").collect()] == [(1, "12-1 13"), (2, "가람동 5  산 7 9"), (3, "나래 1 3")]
     assert one(spark, "1반2반3반", lambda s: L.label_mismatch(s, F.lit(3))) is False
     assert one(spark, "1반3반", lambda s: L.label_mismatch(s, F.lit(2))) is True
+
+
+def test_territory_pairs_and_first_lots(spark):
+    text = "가람동 491, 492~493(빌라 1호), 나래동 산12, 13-1,가람동5"
+    got = one(spark, text, lots.territory_pairs)
+    assert [tuple(x) for x in got] == [("가람동", "491"), ("가람동", "492"), ("가람동", "493"), ("나래동", "산12"), ("나래동", "13-1"), ("나래동", "가람동5")]
+    assert one(spark, "491, 492", lots.territory_pairs) == [] and one(spark, "", lots.territory_pairs) == []
+    assert tuple(one(spark, "x 가람동 산12-3, 나래동 4", lambda s: lots.first_lot(s, ["가람동"]))) == ("가람동", "산12-3")
+    assert one(spark, "나래동 4 가람동 5", lambda s: lots.first_lot(s, ["가람동"])) is None
+    assert [tuple(x) for x in one(spark, "나래동 4 가람동 5 가람동6-1", lambda s: lots.all_lots(s, ["가람동"]))] == [("가람동", "5"), ("가람동", "6-1")]
+    assert one(spark, "가람동 12-3 풍림 마을 (101동 1호)", lots.cluster_name) == "풍림마을"
+
+
+def test_earlier_readings(spark):
+    for spec, older, oldest in [("491~3", [], []), ("10-1~12-3", ["10-1", "12-3", "11"], None), ("5-1~5-3", ["5-1", "5-2", "5-3"], None), ("7~9-2", ["7", "8", "9", "9-2"], ["7", "8", "9", "9-2"]), ("1~x", None, None)]:
+        for mode, want in (("older", older), ("oldest", oldest)):
+            assert one(spark, spec, lambda s, m=mode: lots.expand_spec(s, F.lit(False), m)) == want, (spec, mode)

@@ -50,3 +50,17 @@ def test_waterfall_takes_the_first_source(spark):
 def test_mode_least(spark):
     df = spark.createDataFrame([(1, v) for v in (3, 3, 2, 2, 1)], "k int, v int")
     assert N.mode_least(df, ["k"], "v").select(F.col("mode")).first()[0] == 2
+
+
+def test_lookup_review_and_known_lots(spark):
+    index = spark.createDataFrame([("a", "1", 5), ("a", "산2", 6)], "legal string, lot string, tong int")
+    asked = spark.createDataFrame([("a", "1"), ("a", "2"), ("a", "3")], "legal string, lot string")
+    assert sorted(map(tuple, N.lookup(index, asked).collect())) == [("a", "1", 5), ("a", "2", 6), ("a", "3", None)]
+    missing = spark.createDataFrame([("d", 1, "why")], "dong string, tong int, reason string")
+    fragments = spark.createDataFrame([("d", 2, 11, 250.5, ["x"]), ("d", 3, 5, 900.0, ["y", "z"])], "dong string, tong int, n long, d double, lots array<string>")
+    omitted = spark.createDataFrame([("d", 4, "b"), ("d", 4, "a")], "dong string, tong int, lot string")
+    rows = [tuple(r) for r in N.review_rows(missing, fragments, omitted).orderBy(*N.review_order()).collect()]
+    assert rows == [("미표시", "d", 1, None, None, "why"), ("누락", "d", 4, 2, None, "a / b"), ("분리/지번오류의심", "d", 3, 5, 900, "y / z"), ("분리/블록분리", "d", 2, 11, 250, "x")]
+    said = spark.createDataFrame([("c", "가람동 12-3 풍림 101동"), ("c", "나래동 4 풍림 102동")], "code string, area string")
+    more = spark.createDataFrame([("c", "풍림 아파트", " 9 ")], "code string, apt_name string, lot string")
+    assert [tuple(r) for r in N.known_lots(said, more, ["가람동"]).collect()] == [("c", "풍림", ["12-3", "9"])]
