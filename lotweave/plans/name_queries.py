@@ -160,7 +160,7 @@ def audit_review(spark, sf):
     artifact = lots.range_artifact(F.col("lot"))
     category = F.when(artifact, "artifact").when(F.regexp_extract("lot", r"\d+", 0).cast("int") % 3 == 0, "site").otherwise("other")
     rank = F.when(category == "artifact", 2).when(category == "site", 0).otherwise(1)
-    return l.select("legal", "lot", "tong", category.alias("category"), F.row_number().over(Window.partitionBy("legal").orderBy(rank, "lot", "tong", "seq")).alias("priority"))
+    return l.select("legal", "lot", "tong", category.alias("category"), F.row_number().over(Window.partitionBy("legal").orderBy(rank, "lot", "tong", "seq")).cast("bigint").alias("priority"))
 
 
 @query("repro_diff", f"""WITH a AS (SELECT DISTINCT legal, lot, tong FROM {ASSIGNED} WHERE match <> 'none'), b AS (SELECT DISTINCT legal, lot, tong FROM {ASSIGNED} WHERE match = 'exact')
