@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon (operator 10).
 
 Texts are folded first: letters are lowered, look-alike letters of other scripts, full-width forms and digits or signs that
-stand for letters become the plain letter, invisible characters go, and all else becomes a blank. The lexicon has whole words
+stand for letters become the plain letter (l and i, which look alike, become one), invisible characters go, and all else becomes a blank. The lexicon has whole words
 and beginnings of words, each with the log odds of its texts' labels as its weight; it is learned from labelled training texts.
 An Aho-Corasick automaton finds its entries. Matches inside an exception phrase don't count; exception phrases are two words
 around a match that training shows mostly in clean texts. The weights' sum over the number of words is the text's density, and
@@ -27,8 +27,8 @@ from lotweave.llm.labels import fit_line, labelled, remainder, sigmoid, spread_o
 # Look-alike letters (Cyrillic, Greek, others) and the signs that stand for letters.
 LOOKALIKES = {
     "а": "a", "в": "b", "с": "c", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-    "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g", "ł": "l", "ø": "o",
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l",
+    "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g", "ł": "i", "ø": "o",
+    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i",
 }
 INVISIBLE = "­​‌‍⁠﻿"
 
@@ -66,12 +66,15 @@ def fold(text: str, table: Folding) -> list[str]:
     words = []
     for w in text.lower().split():
         if w.isalpha() and w.isascii():
-            words.append(w)
+            words.append(w.replace("l", "i"))
             continue
-        # Signs at the end of a word are punctuation, not letters.
-        w = w.rstrip("!|,.;:?").lstrip("!|")
-        if any(c.isalpha() for c in w):
-            words += w.translate(table).split()
+        # Signs at the end of a word are punctuation, not letters; those before it may be either, so it is read both ways.
+        w = w.rstrip("!|,.;:?")
+        bare = w.lstrip("!|")
+        if any(c.isalpha() for c in bare):
+            words += bare.translate(table).split()
+            if len(bare) == len(w) - 1:
+                words += w.translate(table).split()
         else:
             words.append("0")
     return words
@@ -81,7 +84,9 @@ class Lexicon:
     """entries: {word or stem*: weight}; exceptions: phrases of two words; slope and intercept of the curve over density."""
 
     def __init__(self, entries: dict[str, float], exceptions: list[str] = (), slope: float = 1.0, intercept: float = -40.0):
-        self.entries, self.exceptions, self.slope, self.intercept = dict(entries), list(exceptions), slope, intercept
+        # As texts are folded: l, i, 1, | and ! are one letter.
+        self.entries, self.exceptions = {e.replace("l", "i"): w for e, w in entries.items()}, [e.replace("l", "i") for e in exceptions]
+        self.slope, self.intercept = slope, intercept
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "table")}

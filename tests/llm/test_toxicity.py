@@ -5,11 +5,13 @@ from lotweave.llm import toxicity as T
 
 def test_folding_exceptions_and_length():
     lex = T.Lexicon({"stupid": 5.0, "idio*": 4.0, "trash": 3.0}, ["trash can"], 2.0, -6.0)
-    for t in ("you stupid", "you STUP1D!!", "you ѕtuріd", "you s​tupid", "ｓｔｕｐｉｄ", "$tup!d", "idiotic"):
+    for t in ("you stupid", "you STUP1D!!", "you ѕtuріd", "you s​tupid", "ｓｔｕｐｉｄ", "$tup!d", "idiotic", "1d10t", "lDI0T"):
         assert lex.density(t)[1] == 1, t
     for t in ("stupidity", "the trash can", "1234 !!", "", None, "astupid"):
         assert lex.density(t)[1] == 0, t
     assert lex.density("a trash can and trash")[1] == 1
+    loser = T.Lexicon({"loser": 4.0}, ["lovable loser"])
+    assert [loser.density(t)[1] for t in ("1oser", "a |0ser", "LOSER!", "lovable loser", "lose")] == [1, 1, 1, 0, 0]
     assert lex.density("stupid " + "x " * 999)[0] * 49 < lex.density("stupid")[0]
     assert lex.score(0) < lex.score(10) < lex.score(100)
 
