@@ -13,7 +13,7 @@ import numpy as np
 _BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of a batch that are summed at once; what that needs is some 50 times as much.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 
 
 def scatter(x: np.ndarray) -> np.ndarray:

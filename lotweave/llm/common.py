@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,9 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts that a worker handles at once; what it holds follows from this and not from the partition's size.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+
+#: Bytes of an Arrow batch between Spark and a worker (64 MB if left alone): both sides hold a few of them.
+ARROW_BATCH, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 _written: list[tuple[SparkSession, str]] = []
+_collect = [_written]
+_scratches: list[list] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,21 +44,37 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: lineage ends there, and lost executors lose nothing.
 
-    The table goes when the driver's process ends.
+    The table goes when the driver's process ends, or earlier if it was written within scratch().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lotweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _written:
-        atexit.register(remove_durable)
-    _written.append((spark, path))
+    _collect[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(tables: list):
+    """durable()'s tables are listed in `tables` meanwhile; those that are in it already go first."""
+    _remove(tables)
+    if not any(x is tables for x in _scratches):
+        _scratches.append(tables)
+    _collect.append(tables)
+    try:
+        yield
+    finally:
+        _collect.pop()
+
+
 def remove_durable() -> None:
-    """Removes the tables that durable() wrote; results that still read them can't be used afterwards."""
-    while _written:
-        spark, path = _written.pop()
+    """Removes all tables that durable() wrote; results that still read them can't be used afterwards."""
+    for tables in (_written, *_scratches):
+        _remove(tables)
+
+
+def _remove(tables: list[tuple[SparkSession, str]]) -> None:
+    while tables:
+        spark, path = tables.pop()
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -60,11 +83,26 @@ def remove_durable() -> None:
 
 
 def importable(spark: SparkSession) -> None:
-    """Python workers find this package where the driver found it, whatever folder they start in."""
+    """Python workers find this package where the driver found it, whatever folder they start in, and get texts in small batches."""
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+    now = spark.conf.get(ARROW_BATCH).rstrip("b")
+    if not now.isdigit() or int(now) > ARROW_BYTES or int(now) <= 0:
+        spark.conf.set(ARROW_BATCH, f"{ARROW_BYTES}b")
+
+
+atexit.register(remove_durable)
+
+
+def release() -> None:
+    """Gives a worker's freed memory back, so that what one batch needed isn't held while others run."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -107,5 +145,6 @@ def map_texts(df: DataFrame, key: str, text: str, work: Callable[[pa.Array, pa.A
         for batch in batches:
             for part in slices(batch, limit=limit):
                 yield from work(*part.columns)
+            release()
 
     return chosen.mapInArrow(run, schema)

@@ -27,16 +27,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotweave.llm import codes
-from lotweave.llm.common import BATCH_BYTES, documents, durable, importable, map_texts, slices, text_bytes
+from lotweave.llm.common import BATCH_BYTES, documents, durable, importable, map_texts, release, slices, text_bytes
 
 WORDS, PERCENT = 4, 85
 #: Lists up to LONG members are paired off; longer ones if no more than TRIES pairs a member can reach T; none over LONGEST.
 LONG, TRIES, LONGEST = 32, 16, 1024
 SURE = 1 << 40
+#: Sketches of that many groups of tasks are summed side by side first.
+SPREAD = 8
 NAMES = ["token", "x", "y", "nx", "ny", "times"]
 #: How far apart in the order of sizes the members of other lists are that try each other; sets in a block of such a list.
 APART, BLOCK = (1, 2, 3, 5, 8, 13, 21, 34), 512
-#: Counters of the sketch: 8 a text within these bounds (a byte each).
+#: Counters of the sketch: 4 a text within these bounds (a byte each).
 LEAST_BITS, MOST_BITS = 12, 22
 
 
@@ -97,28 +99,51 @@ def counted(df: DataFrame, column: str, bits: int, cells) -> np.ndarray:
         total, some = np.zeros(size, np.uint8), [np.zeros(0, np.int64)]
 
         def add():
-            one = np.minimum(np.bincount(np.concatenate(some), minlength=size), 255).astype(np.uint8)
+            cell, n = np.unique(np.concatenate(some), return_counts=True)
             some[:] = some[:1]
-            return np.where(total > 255 - one, np.uint8(255), total + one)
+            total[cell] = np.minimum(total[cell] + np.minimum(n, 255), 255)
 
         for batch in batches:
             for part in slices(batch, 0, BATCH_BYTES >> 1):
                 for c in cells(part.column(0)):
                     some.append(c)
-                if sum(map(len, some)) > 1 << 20:
-                    total = add()
-        total = add()
+                if sum(map(len, some)) > 1 << 19:
+                    add()
+            release()
+        add()
         for k in range(0, size, piece):
             if total[k : k + piece].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // piece], pa.int32()), pa.array([total[k : k + piece].astype(np.uint8).tobytes()], pa.binary()), pa.array([TaskContext.get().partitionId() % 64], pa.int32())], names=["piece", "counts", "spread"])
+                yield pa.RecordBatch.from_arrays([pa.array([k // piece], pa.int32()), pa.array([total[k : k + piece].astype(np.uint8).tobytes()], pa.binary()), pa.array([TaskContext.get().partitionId() % SPREAD], pa.int32())], names=["piece", "counts", "spread"])
 
     return summed(df.select(column).mapInArrow(run, "piece int, counts binary, spread int"), size)
 
 
+FILTER_BITS = 22
+
+
+def marked(df: DataFrame, column: str) -> np.ndarray:
+    """A filter of 2 ** FILTER_BITS bits that holds all values of a bigint column, by their leading bits once scattered (a: as it is)."""
+    spread = (lambda v: v) if column == "a" else codes.scatter
+    cells = lambda a: [(spread(np.asarray(a).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+    return np.packbits(counted(df.select(column), column, FILTER_BITS, cells) > 0)
+
+
+def only_marked(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets whose node may be among nodes: what isn't needed leaves before it is exchanged."""
+    marks = sets.sparkSession.sparkContext.broadcast(marked(nodes, "node"))
+
+    def run(batches):
+        for b in batches:
+            cell = (codes.scatter(np.asarray(b.column(0)).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+            yield b.filter(pa.array((marks.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)))
+
+    return sets.mapInArrow(run, sets.schema)
+
+
 def shingled(df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """(key, n, a, b, short): the set's size, its signature, and its rarest shingles in order."""
     rows = df.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (8 * rows).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (4 * rows).bit_length()))
     shift = np.uint64(64 - bits)
 
     def cells(texts):
@@ -195,7 +220,7 @@ def candidates(lists: DataFrame, percent: int, long: int) -> DataFrame:
                     p, q = (s + i).ravel(), (s + j).ravel()
                     good = similar(p, q)
                     keep(p[good], q[good], 1)
-                    if sum(x.shape[1] for x in pairs) > 1 << 19:
+                    if sum(x.shape[1] for x in pairs) > 1 << 18:
                         yield emit()
             else:
                 for s in starts:
@@ -213,10 +238,12 @@ def candidates(lists: DataFrame, percent: int, long: int) -> DataFrame:
                             u, v = p[:-d], p[d:]
                             near = similar(u, v)
                             keep(u[near], v[near], SURE)
-                    if sum(x.shape[1] for x in pairs) > 1 << 19:
+                    if sum(x.shape[1] for x in pairs) > 1 << 18:
                         yield emit()
         if pairs:
             yield emit()
+        del token, node, n, at, order, first, size, parts
+        release()
 
     importable(lists.sparkSession)
     return lists.mapInArrow(run, ", ".join(f"{c} bigint" for c in NAMES))
@@ -359,7 +386,7 @@ def long_lists(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: i
     cells = blocks.join(other, "token").where("block <= block2").where("least(lo, lo2) < greatest(hi, hi2)").select("token", "block", "block2")
     # Equal cells of several lists (the same near copies) are searched once.
     cells = cells.select("token", F.array("block", "block2").alias("cell"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
-    rows = cells.join(dealt, ["token", "block"]).join(sets, "node").select("token", F.concat_ws("|", "cell").alias("cell"), "node", "label", "block", "items")
+    rows = cells.join(dealt, ["token", "block"]).join(only_marked(sets, cells.join(dealt, ["token", "block"]).select("node")), "node").select("token", F.concat_ws("|", "cell").alias("cell"), "node", "label", "block", "items")
 
     def search(table: pa.Table) -> pa.Table:
         nodes, labels = table.column("node").to_pylist(), table.column("label").to_pylist()
@@ -402,25 +429,26 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
     members = found.where("y is null and times = 1").select("token", F.col("x").alias("node"))
     # Sets of the nodes that are asked for: texts are read again, and a fixed-size filter by signature spares most of them.
     asked = pairs.select(F.explode(F.array("x", "y")).alias("node")).unionByName(members.select("node")).distinct()
-    asked = durable(classes.select("node", "n", "a", "b").join(asked, "node"))
-    bits = 22
-    marks = counted(asked.select("a"), "a", bits, lambda a: [(np.asarray(a).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)])
-    marks = spark.sparkContext.broadcast(np.packbits(marks > 0))  # 2 ** 22 bits
+    asked = durable(classes.select("node", "n", "a", "b", "least").join(asked, "node"))
+    marks = marked(asked, "a")
+    chosen = spark.sparkContext.broadcast(marks)
 
     def items(keys: pa.Array, texts: pa.Array):
-        out, seen = [], set()
-        for s in _sets(texts, words):
+        out, at = [], []
+        for k, s in enumerate(_sets(texts, words)):
             a, b = _signature(s)
-            cell = (a & (1 << 64) - 1) >> 64 - bits
-            if len(s) and marks.value[cell >> 3] >> 7 - (cell & 7) & 1 and (len(s), a, b) not in seen:
-                seen.add((len(s), a, b))
+            cell = (a & (1 << 64) - 1) >> 64 - FILTER_BITS
+            if len(s) and chosen.value[cell >> 3] >> 7 - (cell & 7) & 1:
+                at.append(k)
                 out.append((len(s), a, b, s.tobytes()))
         if out:
             columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.binary())], names=["n", "a", "b", "items"])
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.binary())], names=["id", "n", "a", "b", "items"])
 
-    some = map_texts(df, key, text, items, "n bigint, a bigint, b bigint, items binary")
-    sets = durable(some.join(asked, ["n", "a", "b"]).groupBy("node").agg(F.first("items").alias("items")))
+    kind = df.schema[key].dataType.simpleString()
+    some = map_texts(df, key, text, items, f"id {kind}, n bigint, a bigint, b bigint, items binary").withColumnRenamed("id", "_id")
+    # One text speaks for a class (or equal rows of it do, which find the same links).
+    sets = durable(some.join(asked, ["n", "a", "b"]).where(F.col("_id").eqNullSafe(F.col("least"))).select("node", "items"))
     # The pair of each set that shares most lists comes first; that leaves few others between different components.
     best = Window.partitionBy("x").orderBy(F.desc("times"), "y")
     ranked = pairs.withColumn("first", F.row_number().over(best) == 1)
@@ -429,7 +457,7 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
     label = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     rest = ranked.where("not first").join(label("x"), "x", "left").join(label("y"), "y", "left")
     rest = durable(rest.where(F.coalesce("root_x", "x") != F.coalesce("root_y", "y")).select("x", "y"))
-    links = durable(links.unionByName(checked(rest, sets, percent)))
+    links = durable(links.unionByName(checked(rest, only_marked(sets, rest.select(F.explode(F.array("x", "y")).alias("node"))), percent)))
     roots = stars(links)
     more = long_lists(members, roots, sets, percent, block)
     if more is not None:
