@@ -5,43 +5,65 @@ exact_dedup   of equal texts one document stays (block naming, operator 8)
 near_dedup    of each group of near copies one document stays (n-gram Jaccard join, operator 9: five words, 80 percent)
 decontaminate documents that hold a benchmark item go (CGK embedding, operator 4)
 tokenize      ids and decoded text of what is left (BPE, operator 1)
+
+A stage's result is written before the next one begins, so each stage first removes the last one's scratch tables.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotweave.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality
-from lotweave.llm.common import documents, durable
+from lotweave.llm.common import documents, durable, scratch
 
 WORDS, PERCENT = 5, 80
 
+_scratch: list = []
+
+
+def _stage(f):
+    """A stage whose scratch tables go when the next one begins."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with scratch(_scratch):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in gone."""
     return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranker = quality.train(docs, documents(spark, sf_dir, "labels"))
     scored = durable(quality.score(docs, ranker))
     return _without(docs, scored.where(F.col("score") < quality.ACCEPT))
 
 
+@_stage
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs)
 
 
+@_stage
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = durable(jaccard_join.components(docs, words=WORDS, percent=PERCENT))
     return _without(docs, found.where(F.col("doc_id") != F.col("component_id")))
 
 
+@_stage
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(docs, durable(decontaminate.contaminated(docs, documents(spark, sf_dir, "benchmark"))))
 
 
+@_stage
 def tokenize_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = bpe.encode(docs, bpe.vocabulary())
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
