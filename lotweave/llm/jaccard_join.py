@@ -37,7 +37,7 @@ SURE = 1 << 40
 SPREAD = 8
 NAMES = ["token", "x", "y", "nx", "ny", "times"]
 #: How far apart in the order of sizes the members of other lists are that try each other; sets in a block of such a list.
-APART, BLOCK = (1, 2, 3, 5, 8, 13, 21, 34), 512
+APART, BLOCK = (1, 3, 8, 21), 512
 #: Counters of the sketch: 4 a text within these bounds (a byte each).
 LEAST_BITS, MOST_BITS = 12, 22
 
