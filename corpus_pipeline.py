@@ -3,7 +3,7 @@
 quality       rejects low-quality documents (pairwise ranking, operator 5)
 exact_dedup   of equal texts one document stays (block naming, operator 8)
 near_dedup    of each group of near copies one document stays (n-gram Jaccard join, operator 9: five words, 80 percent)
-decontaminate documents that hold a benchmark item go (CGK embedding, operator 4)
+decontaminate documents that hold a benchmark item go (all within 15 percent of its length, operator 4)
 tokenize      ids and decoded text of what is left (BPE, operator 1)
 
 A stage's result is written before the next one begins, so each stage first removes the last one's scratch tables.

@@ -1,18 +1,20 @@
-"""Benchmark decontamination by CGK embedding and bit sampling (operator 4).
-
-Texts and items are lowered (A-Z) and their white space becomes single blanks. A CGK walk reads a window of a text from a word's
-start: at each step it gives out the byte under it and moves on, or stays, by a random bit of (step, byte). Two windows with few
-edits between them walk together for most steps, so that edit distance becomes Hamming distance. Repeated bit sampling takes a
-few random steps of the walk as a code, several times over and for several walks; windows that agree in one code are candidates.
-
-Windows are as large as the items allow: a quarter of the shortest item of a size class (sizes within a factor of two). Items have a
-window at each word, texts at every few words, so that a passage of an item's length holds many windows, most of them between
-its edits. For each candidate the item's exact edit distance to the best fitting stretch around its place is found; a text is
-contaminated by an item within `percent` of the item's length.
-
-Items are handled in blocks of a bounded size, which is what is broadcast. Defined cases: null and empty texts hold nothing;
-null, empty and very short items (under 16 bytes) are compared by containment of whole words; repeated rows each get their
-matches, a repeated item is reported under each of its ids; texts of any length are handled whole. Other columns are not read.
+"""Benchmark decontamination by exact pieces, a tree of checks and edit distances (operator 4).
+
+Texts and items are lowered (A-Z) and their white space becomes single blanks. An item that may have k edits (`percent` of its
+length) is cut into k + 1 pieces of nearly equal length, so that at least one of them stands unchanged in any stretch of text
+that matches. Every byte of a text is a possible start of a piece, whatever its words, script or length; no match is missed.
+
+Pieces are short (6 bytes at 15 percent), so most places where one is found are chance. They are the leaves of a binary tree in
+which a node of g pieces may have g - 1 edits: if all nodes above all unchanged pieces had more, so had the item. A piece's
+place must pass the nodes of two, four and eight pieces above it, which are checked for many places at once. For each candidate
+left the item's exact edit distance to the best fitting stretch around its place is found; a text is contaminated by an item
+within `percent` of the item's length.
+
+Items are handled in blocks of a bounded size, which is what is broadcast; the work grows with the places where pieces are
+found, so with the items. Defined cases: null and empty texts hold nothing; very short items (under 16 bytes) are compared by
+containment of whole words, null and empty items are in no text; repeated rows each get
+their matches, a repeated item is reported under each of its ids; texts of any length are handled whole. Other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -29,18 +31,19 @@ from lotweave.llm.codes import scatter, separators
 from lotweave.llm.common import documents, map_texts, text_bytes
 
 PERCENT = 15
-#: Independent walks, codes of each walk, and sampled steps in a code.
-WALKS, CODES, SAMPLED = 1, 8, 8
-#: Bytes of a window for each word that the next one starts later.
-STRIDE = 10
+#: Codes of a walk, and sampled steps in a code.
+CODES, SAMPLED = 8, 8
 #: Bytes of items that are searched for at once.
 BLOCK_BYTES = 8 << 20
 SHORTEST = 16
-LEAST_WINDOW = 24
 #: Length of the byte runs that are counted before an edit distance is found.
 Q, RUN_BITS = 5, 14
-FILTER_BITS = 22
-RUN = 1 << 13  # windows that walk side by side
+RUN = 1 << 13  # windows that walk, and places that are checked, side by side
+#: Places of a text that are looked up at once, and finds of pieces that are followed at once.
+PLACES, FINDS = 1 << 17, 1 << 19
+#: Zero bytes before and behind each text.
+GAP = 16
+LOW = np.uint64(0x0101010101010101)
 
 
 def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,15 +76,9 @@ def padded(data: np.ndarray, offsets: np.ndarray, gap: int) -> tuple[np.ndarray,
     return out, starts
 
 
-def word_starts(buffer: np.ndarray) -> np.ndarray:
-    inside = (buffer != 32) & (buffer != 0)
-    inside[1:] &= (buffer[:-1] == 32) | (buffer[:-1] == 0)
-    return np.flatnonzero(inside)
-
-
 @dataclass
 class Walk:
-    """The random choices for windows of `size` bytes: 2 * size steps."""
+    """The random choices of a CGK walk for windows of `size` bytes: 2 * size steps. The search for items doesn't use it."""
 
     size: int
     seed: int
@@ -153,59 +150,166 @@ def edit_distance(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+def eight(buffer: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, the first one lowest."""
+    return np.ndarray(len(buffer) - 7, "<u8", buffer, strides=(1,)).astype(np.uint64)
+
+
+def differing(x: np.ndarray) -> np.ndarray:
+    """The lowest bit of each byte that isn't zero."""
+    x = x | x >> np.uint64(4)
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return x & LOW
+
+
+def within_one(rest: np.ndarray, mask: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Whether `rest`, whose bytes are those of mask, begins `text` with one edit at most."""
+    same = differing((rest ^ text) & mask)
+    least = same & (~same + np.uint64(1))
+    left_out = differing((rest ^ text << np.uint64(8)) & mask)
+    put_in = differing((rest ^ text >> np.uint64(8)) & mask)
+    return (same == least) | (left_out < least << np.uint64(1)) | (put_in < least)
+
+
 class Items:
-    """A block of items with the codes of all their windows."""
+    """A block of items with their pieces."""
 
     def __init__(self, ids: list, texts: list[str | None], percent: int):
         self.ids, self.percent = ids, percent
         data, offsets = normal(*text_bytes(pa.array(texts, pa.string())))
         self.texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         self.short = [k for k, t in enumerate(self.texts) if 0 < len(t) < SHORTEST]
-        self.classes = []
         sizes = np.diff(offsets)
-        self.slack = np.maximum(1, sizes * percent // 100)
-        for low in sorted({1 << int(n).bit_length() - 1 for n in sizes if n >= SHORTEST}):
-            mine = np.flatnonzero((sizes >= low) & (sizes < 2 * low))
-            size = max(LEAST_WINDOW, low // 4)
-            buffer = np.concatenate([x for k in mine for x in (data[offsets[k] : offsets[k + 1]], np.zeros(2 * size + 1, np.uint8))])
-            starts = np.cumsum([0, *(sizes[mine][:-1] + 2 * size + 1)])
-            at = word_starts(buffer)
-            of = np.searchsorted(starts, at, side="right") - 1
-            whole = at + size <= starts[of] + sizes[mine][of]
-            at, of = at[whole], of[whole]
-            for seed in range(WALKS):
-                walk = Walk(size, seed)
-                for t, c in enumerate(walk.codes(buffer, at)):
-                    order = np.argsort(c, kind="stable")
-                    marks = np.zeros(1 << FILTER_BITS, bool)
-                    marks[(c >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-                    self.classes.append((size, seed, t, c[order], mine[of[order]], (at - starts[of])[order], np.packbits(marks)))
-
-    @property
-    def longest(self) -> int:
-        return max((c[0] for c in self.classes), default=1)
+        most = sizes * percent // 100
+        self.slack = np.maximum(1, most)
+        self.data = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(16, np.uint8)])
+        mine = np.flatnonzero(sizes >= SHORTEST)
+        self.pieces = np.where(sizes >= SHORTEST, most + 1, 0)
+        self.first = np.cumsum(self.pieces + 1) - self.pieces - 1
+        # Where the pieces of item i begin in data: edges[first[i] :][: pieces[i] + 1], the last one is its end.
+        of = np.repeat(np.arange(len(sizes)), self.pieces + 1)
+        number = np.arange(len(of)) - self.first[of]
+        self.edges = 8 + offsets[of] + sizes[of] * number // np.maximum(1, self.pieces[of])
+        leaf = np.flatnonzero(number < self.pieces[of])
+        self.item, self.number, self.at = of[leaf], number[leaf], self.edges[leaf]
+        width = np.minimum(8, sizes // np.maximum(1, self.pieces))[self.item]
+        words = eight(self.data)
+        right = self.number % 2 == 0
+        last = np.minimum(self.number | 1, self.pieces[self.item] - 1) + 1
+        end = self.edges[self.first[self.item] + last]
+        begin = self.edges[self.first[self.item] + (self.number & ~1)]
+        n = np.where(right, end - self.at - width, self.at - begin)
+        # The node of two pieces: what stands beside the piece, read away from it.
+        rest = np.where(right, words[np.minimum(self.at + width, len(words) - 1)], words[self.at - 8].byteswap())
+        mask = (np.uint64(1) << (np.uint64(8) * np.clip(n, 0, 7).astype(np.uint64))) - np.uint64(1)
+        self.right, self.mask, self.rest = right, mask, rest & mask
+        self.tables = []
+        for q in np.unique(width[self.pieces[self.item] > 0]).tolist() if len(mine) else []:
+            some = np.flatnonzero(width == q)
+            bits = min(22, max(12, (16 * len(some)).bit_length()))
+            key = words[self.at[some]] & np.uint64((1 << 8 * q) - 1)
+            cell = self.cells(key, bits)
+            order = np.argsort(cell, kind="stable")
+            starts = np.append(0, np.cumsum(np.bincount(cell, minlength=1 << bits))).astype(np.int32)
+            self.tables.append((q, bits, starts[1:] > starts[:-1], starts, key[order], some[order]))
+
+    @staticmethod
+    def cells(key: np.ndarray, bits: int) -> np.ndarray:
+        return (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def finds(self, buffer: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the buffer and pieces that begin there, as far as the nodes of two pieces allow."""
+        for a in range(8, len(buffer) - GAP, PLACES):
+            words = eight(buffer[a - 8 : min(len(buffer), a + PLACES + 16)])
+            n = min(PLACES, len(words) - 17)
+            for q, bits, some, starts, key, pieces in self.tables:
+                here = words[8 : 8 + n] & np.uint64((1 << 8 * q) - 1)
+                cell = self.cells(here, bits)
+                at = np.flatnonzero(some[cell])
+                cell = cell[at]
+                times = (starts[cell + 1] - starts[cell]).astype(np.int64)
+                total = np.append(0, np.cumsum(times))
+                k = 0
+                while k < len(at):
+                    m = max(k + 1, int(np.searchsorted(total, total[k] + FINDS, side="right")) - 1)
+                    place = np.repeat(at[k:m], times[k:m])
+                    slot = np.arange(total[k], total[m]) - np.repeat(total[k:m] - starts[cell[k:m]], times[k:m])
+                    good = here[place] == key[slot]
+                    place, piece = place[good], pieces[slot[good]]
+                    text = np.where(self.right[piece], words[place + 8 + q], words[place].byteswap())
+                    good = within_one(self.rest[piece], self.mask[piece], text)
+                    yield place[good] + a, piece[good]
+                    k = m
+
+    def passes(self, buffer: np.ndarray, place: np.ndarray, piece: np.ndarray, level: int) -> np.ndarray:
+        """Whether the node of 2 ** level pieces above each piece has few enough edits around its place.
+
+        The edit distance of edit_distance(), for many places at once; bytes count as equal if their five lowest bits are.
+        """
+        item, number = self.item[piece], self.number[piece]
+        a = number >> level << level
+        b = np.minimum(a + (1 << level), self.pieces[item])
+        lo, hi = self.edges[self.first[item] + a], self.edges[self.first[item] + b]
+        out = np.ones(len(place), bool)
+        asked = np.flatnonzero((b - a > 1) & (hi - lo <= 64))
+        one = np.uint64(1)
+        for k in range(0, len(asked), RUN):
+            x = asked[k : k + RUN]
+            most, size = (b - a - 1)[x], (hi - lo)[x]
+            node, which, of = np.unique(lo[x], return_index=True, return_inverse=True)
+            of = of * 32
+            length = size[which]
+            equal = np.zeros((len(node), 32), np.uint64)
+            for i in range(int(length.max())):
+                j = np.flatnonzero(length > i)
+                equal[j, self.data[node[j] + i] & 31] |= one << np.uint64(i)
+            equal = equal.ravel()
+            p = place[x] - (self.at[piece[x]] - lo[x]) - most
+            top = (size - 1).astype(np.uint64)
+            up, down = np.full(len(x), ~np.uint64(0)), np.zeros(len(x), np.uint64)
+            d = size.copy()
+            best = d.copy()
+            for _ in range(int((size + 2 * most).max())):
+                eq = equal.take(of + (buffer.take(p, mode="clip") & 31))
+                v = eq | down
+                diag = (((eq & up) + up) ^ up) | v
+                gain = down | ~(diag | up)
+                lose = up & diag
+                d += (gain >> top & one).astype(np.int64)
+                d -= (lose >> top & one).astype(np.int64)
+                gain <<= one
+                lose <<= one
+                up = lose | ~(diag | gain)
+                down = gain & diag
+                np.minimum(best, d, out=best)
+                p += 1
+            out[x] = best <= most
+        return out
 
     def found(self, buffer: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Candidates as columns text, item, cell: the item would begin in that cell of the text, as wide as its slack."""
-        words = word_starts(buffer)
-        of = np.searchsorted(starts, words, side="right") - 1
-        number = np.arange(len(words)) - np.searchsorted(words, starts)[of]
-        by: dict[tuple[int, int], np.ndarray] = {}
-        out = [np.zeros((3, 0), np.int64)]
-        for size, seed, t, known, item, place, marks in self.classes:
-            # A word and its blank are some 6 bytes: windows start about every two thirds of a window.
-            at = words[number % max(1, size // STRIDE) == 0]
-            if (size, seed) not in by:
-                by = {(size, seed): Walk(size, seed).codes(buffer, at)}
-            c = by[size, seed][t]
-            cell = (c >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            some = np.flatnonzero(marks[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
-            a, b = np.searchsorted(known, c[some], side="left"), np.searchsorted(known, c[some], side="right")
-            times = b - a
-            w = np.repeat(at[some], times)
-            k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(a, times)
-            doc = np.searchsorted(starts, w, side="right") - 1
-            out.append(np.unique(np.stack([doc, item[k], (w - place[k] - starts[doc]) // self.slack[item[k]]]), axis=1))
+        out, place, piece, n = [np.zeros((3, 0), np.int64)], [], [], 0
+
+        def checked():
+            p, x = np.concatenate(place), np.concatenate(piece)
+            for level in (2, 3):
+                good = self.passes(buffer, p, x, level)
+                p, x = p[good], x[good]
+            doc = np.searchsorted(starts, p, side="right") - 1
+            item = self.item[x]
+            begin = self.edges[self.first[item]]
+            out.append(np.unique(np.stack([doc, item, (p - (self.at[x] - begin) - starts[doc]) // self.slack[item]]), axis=1))
+
+        for p, x in self.finds(buffer):
+            place.append(p)
+            piece.append(x)
+            n += len(p)
+            if n >= FINDS:
+                checked()
+                place, piece, n = [], [], 0
+        if n:
+            checked()
         return np.unique(np.concatenate(out, 1), axis=1).T
 
     def marked(self, i: int) -> np.ndarray:
@@ -221,7 +325,8 @@ class Items:
     def matches(self, texts: pa.Array) -> list[tuple[int, int, int, int]]:
         """(text, item, distance, end) for each text and item within the distance, once, at its best place."""
         data, offsets = normal(*text_bytes(texts))
-        buffer, starts = padded(data, offsets, 2 * self.longest + 1)
+        buffer, starts = padded(data, offsets, GAP)
+        buffer, starts = np.concatenate([np.zeros(GAP, np.uint8), buffer]), starts + GAP
         sizes = np.diff(offsets)
         runs = run_codes(buffer)
         best: dict[tuple[int, int], tuple[int, int]] = {}

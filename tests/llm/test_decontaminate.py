@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lotweave.llm import decontaminate as D
 
@@ -93,3 +94,28 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.contaminated(docs, none).count() == 0
     assert D.contaminated(docs.limit(0), spark.createDataFrame([(1, "long enough to be an item here")], none.schema)).count() == 0
+
+
+def prose(rng, size):
+    """About `size` bytes of words of a small vocabulary, normalised."""
+    words = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    out = ""
+    while len(out) < size:
+        out += rng.choice(words) + " "
+    return out[:size].strip()
+
+
+@pytest.mark.parametrize(("size", "times"), [(20, 80), (40, 80), (64, 80), (250, 60), (1500, 25), (3000, 15)])
+def test_all_items_are_found_up_to_the_limit(size, times):
+    rng = random.Random(size)
+    items = [prose(rng, size) for _ in range(times)]
+    texts = []
+    for item in items:
+        text = item
+        for share in rng.choice([(0.06,), (0.1,), (0.06, 0.06), (0.1, 0.04), (0.1, 0.07)]):
+            text = edited(rng, text, share)
+        texts.append(" ".join((prose(rng, 90) + " " + text + " " + prose(rng, 50)).split()))
+    limit = {k: d for k in range(times) if (d := D.edit_distance(items[k].encode(), texts[k].encode())[0]) * 100 <= D.PERCENT * len(items[k])}
+    assert len(limit) > times // 3 and max(d * 100 / len(items[k]) for k, d in limit.items()) > 9
+    found = {d: dist for d, i, dist, _ in D.Items([*range(times)], items, D.PERCENT).matches(pa.array(texts)) if d == i}
+    assert found == limit
