@@ -119,3 +119,18 @@ def test_all_items_are_found_up_to_the_limit(size, times):
     assert len(limit) > times // 3 and max(d * 100 / len(items[k]) for k, d in limit.items()) > 9
     found = {d: dist for d, i, dist, _ in D.Items([*range(times)], items, D.PERCENT).matches(pa.array(texts)) if d == i}
     assert found == limit
+
+
+def test_items_of_all_short_lengths_at_all_words():
+    rng = random.Random(21)
+    items, texts, want = [], [], set()
+    words = prose(rng, 60).split()[:9]
+    for size in range(1, 65):
+        item = prose(rng, size + 20).replace(" ", "q", 1)[:size].strip().ljust(size, "z")
+        for k in range(len(words)):
+            want.add((len(texts), len(items)))
+            texts.append(" ".join([*words[:k], item, *words[k:]]))
+        items.append(item)
+    assert [len(x) for x in items] == [*range(1, 65)]
+    found = {(d, i) for d, i, dist, _ in D.Items([*range(64)], items, D.PERCENT).matches(pa.array(texts)) if dist == 0}
+    assert want <= found
