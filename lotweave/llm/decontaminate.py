@@ -12,7 +12,7 @@ within `percent` of the item's length.
 
 Items are handled in blocks of a bounded size, which is what is broadcast; the work grows with the places where pieces are
 found, so with the items. Defined cases: null and empty texts hold nothing; very short items (under 16 bytes) are compared by
-containment of whole words, null and empty items are in no text; repeated rows each get
+containment of whole words (in scripts without blanks, of characters), null and empty items are in no text; repeated rows each get
 their matches, a repeated item is reported under each of its ids; texts of any length are handled whole. Other columns are not
 read.
 """
@@ -43,6 +43,8 @@ RUN = 1 << 13  # windows that walk, and places that are checked, side by side
 PLACES, FINDS = 1 << 17, 1 << 19
 #: Zero bytes before and behind each text.
 GAP = 16
+#: First characters of scripts written without blanks, and their ends: Thai and Lao, Tibetan, Burmese, Khmer, kana and Han.
+UNSPACED = ((0x0E00, 0x1100), (0x1780, 0x1800), (0x2E80, 0xA4D0), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x20000, 0x32000))
 LOW = np.uint64(0x0101010101010101)
 
 
@@ -172,6 +174,10 @@ def within_one(rest: np.ndarray, mask: np.ndarray, text: np.ndarray) -> np.ndarr
     return (same == least) | (left_out < least << np.uint64(1)) | (put_in < least)
 
 
+def unspaced(char: str) -> bool:
+    return any(a <= ord(char) < b for a, b in UNSPACED)
+
+
 class Items:
     """A block of items with their pieces."""
 
@@ -179,7 +185,11 @@ class Items:
         self.ids, self.percent = ids, percent
         data, offsets = normal(*text_bytes(pa.array(texts, pa.string())))
         self.texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        self.short = [k for k, t in enumerate(self.texts) if 0 < len(t) < SHORTEST]
+        self.short = []
+        for k, t in enumerate(self.texts):
+            if 0 < len(t) < SHORTEST:
+                chars = t.decode()
+                self.short.append((k, b"" if unspaced(chars[0]) else b" ", b"" if unspaced(chars[-1]) else b" "))
         sizes = np.diff(offsets)
         most = sizes * percent // 100
         self.slack = np.maximum(1, most)
@@ -344,12 +354,12 @@ class Items:
             d, end = (0, inside + len(item)) if inside >= 0 else edit_distance(item, region)
             if d * 100 <= self.percent * len(item) and d < best.get((doc, i), (len(item), 0))[0]:
                 best[doc, i] = (d, lo + end)
-        for i in self.short:
-            item = b" " + self.texts[i] + b" "
+        for i, before, behind in self.short:
+            item = before + self.texts[i] + behind
             for doc in range(len(sizes)):
                 at = (b" " + data[offsets[doc] : offsets[doc + 1]].tobytes() + b" ").find(item)
                 if at >= 0:
-                    best[doc, i] = (0, at + len(item) - 2)
+                    best[doc, i] = (0, at + len(before + self.texts[i]) - 1)
         return [(doc, i, *v) for (doc, i), v in sorted(best.items())]
 
 

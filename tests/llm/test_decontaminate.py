@@ -134,3 +134,18 @@ def test_items_of_all_short_lengths_at_all_words():
     assert [len(x) for x in items] == [*range(1, 65)]
     found = {(d, i) for d, i, dist, _ in D.Items([*range(64)], items, D.PERCENT).matches(pa.array(texts)) if dist == 0}
     assert want <= found
+
+
+def test_items_without_blanks_within_running_text():
+    rng = random.Random(22)
+    scripts = [[chr(c) for c in range(a, a + 200)] for a in (0x4E00, 0x3041)] + [[chr(c) for c in range(0x0E01, 0x0E2F)], list("abcdefghijklmnopqrstuvwxyz0123456789")]
+    run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    items, texts = [], []
+    for letters in scripts:
+        for n in (3, 5, 6, 9, 20, 60, 400) if letters[0] != "a" else (16, 25, 70, 1200):
+            items.append(run(letters, n))
+            texts.append(run(letters, rng.randint(1, 40)) + items[-1] + run(letters, rng.randint(1, 40)))
+    norm = [t.encode() for t in texts]
+    found = {(d, i): (dist, end) for d, i, dist, end in D.Items([*range(len(items))], items, D.PERCENT).matches(pa.array(texts))}
+    for k, x in enumerate(items):
+        assert found[k, k] == (0, norm[k].find(x.encode()) + len(x.encode()))
