@@ -54,7 +54,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = durable(jaccard_join.components(docs, words=WORDS, percent=PERCENT))
+    found = durable(jaccard_join.components(docs, words=WORDS, percent=PERCENT, count=False))
     return _without(docs, found.where(F.col("doc_id") != F.col("component_id")))
 
 

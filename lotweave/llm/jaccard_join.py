@@ -14,7 +14,9 @@ first tries a few others, which contracts near copies into few components; where
 list is cut into blocks, and each pair of blocks with different components gets a local DivideSkip search that gives a spanning
 set of links.
 
-Links become components by alternating large and small stars over written tables. Defined cases: null and empty texts and
+Links become components by alternating large and small stars over written tables. For these a spanning set of links is enough; all
+links lie within components, so their numbers are counted there: blocks of each component (or of several small ones) are held
+against each other, and all overlaps in a pair of blocks are counted. Defined cases: null and empty texts and
 texts without words link with nothing; repeated keys link as their texts do and have a row each; texts with fewer words than
 a shingle are one shingle of all words; a null key counts as none, so a component of null keys only has a null id.
 """
@@ -38,6 +40,8 @@ SPREAD = 8
 NAMES = ["token", "x", "y", "nx", "ny", "times"]
 #: How far apart in the order of sizes the members of other lists are that try each other; sets in a block of such a list.
 APART, BLOCK = (1, 3, 8, 21), 512
+#: Where overlaps are counted: owners' pairs up to which a shingle's are listed, and shingles of a product of matrices.
+DENSE, COLUMNS = 1 << 12, 1 << 12
 #: Counters of the sketch: 4 a text within these bounds (a byte each).
 LEAST_BITS, MOST_BITS = 12, 22
 
@@ -416,8 +420,86 @@ def long_lists(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: i
     return rows.groupBy("token", "cell").applyInArrow(search, "x bigint, y bigint")
 
 
-def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, long: int = LONG, block: int = BLOCK) -> DataFrame:
-    """(key, n_shingles, component_id, n_links): a row for each of df's rows; n_links counts the links of its class that were needed."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of left shares with each set of right."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    both, of = np.unique(np.concatenate([a, b]), return_inverse=True)
+    own = np.repeat(np.arange(len(left)), [len(s) for s in left]), np.repeat(np.arange(len(right)), [len(s) for s in right])
+    times = [np.bincount(x, minlength=len(both)) for x in (of[: len(a)], of[len(a) :])]
+    out = np.zeros((len(left), len(right)), np.int64)
+    # Rare shingles: pairs of their owners, one by one.
+    rare = (times[0] > 0) & (times[1] > 0) & (times[0] * times[1] <= DENSE)
+    sides = []
+    for x, o in zip((of[: len(a)], of[len(a) :]), own, strict=True):
+        order = np.argsort(x, kind="stable")
+        sides.append((o[order], np.searchsorted(x[order], np.arange(len(both)))))
+    (p, first_p), (q, first_q) = sides
+    some = np.flatnonzero(rare)
+    pairs = times[0][some] * times[1][some]
+    total = np.append(0, np.cumsum(pairs))
+    k = 0
+    while k < len(some):
+        m = max(k + 1, int(np.searchsorted(total, total[k] + (1 << 20), side="right")) - 1)
+        at = np.repeat(some[k:m], pairs[k:m])
+        number = np.arange(total[k], total[m]) - np.repeat(total[k:m], pairs[k:m])
+        u, v = p[first_p[at] + number // times[1][at]], q[first_q[at] + number % times[1][at]]
+        out += np.bincount(u * len(right) + v, minlength=out.size).reshape(out.shape)
+        k = m
+    # Others: products of 0/1 matrices, some shingles at a time (exact: sums stay below 2 ** 24).
+    column = np.full(len(both), -1)
+    many = np.flatnonzero((times[0] > 0) & (times[1] > 0) & ~rare)
+    column[many] = np.arange(len(many))
+    for k in range(0, len(many), COLUMNS):
+        found = []
+        for x, o, n in ((of[: len(a)], own[0], len(left)), (of[len(a) :], own[1], len(right))):
+            good = (column[x] >= k) & (column[x] < k + COLUMNS)
+            table = np.zeros((n, min(COLUMNS, len(many) - k)), np.float32)
+            table[o[good], column[x[good]] - k] = 1
+            found.append(table)
+        out += (found[0] @ found[1].T).astype(np.int64)
+    return out
+
+
+def link_counts(roots: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """(node, n_links): with how many others each node of a component links; roots: (node, root) of all nodes but the roots."""
+    sized = durable(roots.groupBy("root").agg((F.count("*") + 1).alias("c")))
+    nodes = roots.select("node", "root").unionByName(sized.select(F.col("root").alias("node"), "root")).join(sized, "root")
+    alone = nodes.where("c = 2").select("node", F.lit(1).cast("bigint").alias("n_links"))  # a pair is one link
+    small = sized.where(F.col("c").between(3, block)).agg(F.sum("c")).first()[0] or 0
+    bundles = -(-small // block) or 1
+    own = F.when(F.col("c") > block, F.col("root")).otherwise(-1 - F.pmod(F.xxhash64("root"), F.lit(bundles)))
+    n = F.when(F.col("c") > block, F.ceil(F.col("c") / block)).otherwise(F.lit(1)).cast("int")
+    dealt = durable(nodes.where("c > 2").select("node", own.alias("own"), n.alias("n")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")))
+    met = only_marked(sets, dealt.select("node")).join(dealt, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cells = met.select("own", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "items")
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.unique(np.asarray(table.column("node")), return_index=True)[1]))  # equal rows give a set twice
+        node, part = np.asarray(table.column("node")), np.asarray(table.column("part"))
+        items = [np.frombuffer(c.as_buffer(), np.uint64) for c in table.column("items")]
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        sides = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        if not len(sides[0]) or not len(sides[1]):
+            return pa.table({"node": pa.array([], pa.int64()), "n_links": pa.array([], pa.int64())})
+        size = [np.array([len(items[k]) for k in side], np.int64) for side in sides]
+        links = overlaps(*[[items[k] for k in side] for side in sides]) >= needed(size[0][:, None], size[1][None, :], percent)
+        if lo == hi:
+            np.fill_diagonal(links, False)
+            out = node, links.sum(1)
+        else:
+            out = np.concatenate([node[s] for s in sides]), np.concatenate([links.sum(1), links.sum(0)])
+        release()
+        return pa.table({"node": pa.array(out[0], pa.int64()), "n_links": pa.array(out[1], pa.int64())})
+
+    some = cells.groupBy("own", "lo", "hi").applyInArrow(count, "node bigint, n_links bigint")
+    return some.groupBy("node").agg(F.sum("n_links").alias("n_links")).unionByName(alone)
+
+
+def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, long: int = LONG, block: int = BLOCK, count: bool = True) -> DataFrame:
+    """(key, n_shingles, component_id, n_links): a row for each of df's rows.
+
+    n_links counts the other classes of equal sets that the row's own class links with, all of them; count=False leaves it out.
+    """
     spark = df.sparkSession
     importable(spark)
     docs = durable(shingled(df, key, text, words, percent))
@@ -465,12 +547,15 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
         roots = stars(links)
     named = classes.select("node", "n", "a", "b", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    degree = links.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = durable(named.join(least, "root").join(degree, "node", "left").select("n", "a", "b", "component_id", "n_links"))
-    met = docs.where("n > 0").select("id", "n", "a", "b").join(named, ["n", "a", "b"])
-    met = met.select("id", "n", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    alone = docs.where("n = 0").select("id", "n", F.col("id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return met.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", "n_links")
+    named = named.join(least, "root")
+    numbers = []
+    if count:
+        numbers = ["n_links"]
+        named = named.join(durable(link_counts(durable(roots), sets, percent, block)), "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    named = durable(named.select("n", "a", "b", "component_id", *numbers))
+    met = docs.where("n > 0").select("id", "n", "a", "b").join(named, ["n", "a", "b"]).select("id", "n", "component_id", *numbers)
+    alone = docs.where("n = 0").select("id", "n", F.col("id").alias("component_id"), *[F.lit(0).cast("bigint").alias(c) for c in numbers])
+    return met.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", *numbers)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

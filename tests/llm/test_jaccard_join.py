@@ -80,3 +80,23 @@ def test_components_of_long_chains(spark):
 
 def test_empty_table(spark):
     assert J.components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def brute_links(rows, words, percent):
+    """By row: with how many other sets its set links."""
+    sets = []
+    for _, t in rows:
+        w = "".join(c.lower() if c.isascii() else c for c in t or "").split()
+        sets.append(frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else []))
+    classes = {s for s in sets if s}
+    return [sum(s != t and 100 * len(s & t) >= percent * len(s | t) for t in classes) if s else 0 for s in sets]
+
+
+@pytest.mark.parametrize(("words", "percent", "long", "block", "dense"), [(4, 85, 32, 512, 4096), (5, 80, 3, 5, 1), (2, 60, 2, 3, 0)])
+def test_all_links_are_counted(spark, monkeypatch, words, percent, long, block, dense):
+    monkeypatch.setattr(J, "DENSE", dense)
+    rows = near_copies() + [(5000 + k, " ".join(f"v{j}" for j in range(90)) + f" w{k}") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_links) for r in J.components(df, words=words, percent=percent, long=long, block=block).collect())
+    want = sorted((k, n) for (k, _), n in zip(rows, brute_links(rows, words, percent), strict=True))
+    assert got == want and max(n for _, n in want) >= 39
