@@ -6,6 +6,9 @@ near_dedup    of each group of near copies one document stays (n-gram Jaccard jo
 decontaminate documents that hold a benchmark item go (all within 15 percent of its length, operator 4)
 tokenize      ids and decoded text of what is left (BPE, operator 1)
 
+Stages decide by row, which is its doc_id, null or not, and its text: a doc_id that repeats with other texts, or is null, takes no
+other row along. Of near copies the row with the least doc_id stays, null before all others.
+
 A stage's result is written before the next one begins, so each stage first removes the last one's scratch tables.
 """
 
@@ -35,15 +38,20 @@ def _stage(f):
     return run_stage
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with what names a row: a struct, so that null ids are equal and smaller ids come first."""
+    return docs.withColumn("_row", F.struct("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")))
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in gone."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose _row is in gone."""
+    return _rows(docs).join(gone.select("_row").distinct(), "_row", "left_anti").select(*docs.columns)
 
 
 @_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranker = quality.train(docs, documents(spark, sf_dir, "labels"))
-    scored = durable(quality.score(docs, ranker))
+    scored = durable(quality.score(_rows(docs), ranker, key="_row"))
     return _without(docs, scored.where(F.col("score") < quality.ACCEPT))
 
 
@@ -54,13 +62,13 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = durable(jaccard_join.components(docs, words=WORDS, percent=PERCENT, count=False))
-    return _without(docs, found.where(F.col("doc_id") != F.col("component_id")))
+    found = durable(jaccard_join.components(_rows(docs), key="_row", words=WORDS, percent=PERCENT, count=False))
+    return _without(docs, found.where(F.col("_row") != F.col("component_id")))
 
 
 @_stage
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, durable(decontaminate.contaminated(docs, documents(spark, sf_dir, "benchmark"))))
+    return _without(docs, durable(decontaminate.contaminated(_rows(docs), documents(spark, sf_dir, "benchmark"), key="_row")))
 
 
 @_stage

@@ -60,3 +60,25 @@ def test_stages_take_empty_tables(spark, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_stages_decide_by_row(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kinds = "doc_id long, text string"
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(80)) for x in "abcd")
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+
+    held = spark.createDataFrame([(5, a), (5, f"{b} {item} {b}"), (None, f"{c} {item}"), (None, d)], kinds)
+    assert rows(P.decontaminate_stage(spark, held, sf)) == sorted([(5, a), (None, d)], key=str)
+
+    near = spark.createDataFrame([(7, a), (7, b), (None, a + " z"), (None, c), (8, b + " z"), (9, d)], kinds)
+    assert rows(P.near_stage(spark, near, sf)) == sorted([(None, a + " z"), (7, b), (None, c), (9, d)], key=str)
+
+    plain = docs.select("doc_id", "text").collect()
+    mixed = spark.createDataFrame([*plain, *[(None, r.text) for r in plain], *[(r.doc_id + 1, r.text) for r in plain]], kinds)
+    ranker = quality.train(mixed, spark.read.parquet(f"{sf}/labels.parquet"))
+    good = {r.text for r in quality.score(mixed, ranker, key="text").collect() if r.score >= quality.ACCEPT}
+    want = sorted(((k, t) for k, t in [(r.doc_id, r.text) for r in mixed.collect()] if t in good), key=str)
+    assert rows(P.quality_stage(spark, mixed, sf)) == want and 0 < len(want) < mixed.count()
