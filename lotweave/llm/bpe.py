@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lotweave.llm.common import documents, importable, map_texts
 
 #: Words whose tokens a worker remembers before it starts afresh (a bound on memory only).
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 LONGEST = 64
 
 # Fixed value: the white space of \s in the vocabulary's patterns.
@@ -46,25 +46,54 @@ def byte_chars() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-def letters_of(kind: str) -> str:
-    """The inside of a character class with all code points of a general category (L: letters, N: numbers)."""
-    found = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == kind]
+def members_of(kind: str) -> str:
+    """The inside of a character class with all code points of a general category (L: letters, N: numbers).
+
+    The tokenizers library is asked, since its tables may be of another Unicode version than Python's.
+    """
+    from tokenizers import Regex, pre_tokenizers
+
+    every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    split = pre_tokenizers.Split(Regex(rf"[^\p{{{kind}}}]+"), "removed")
     runs: list[list[int]] = []
-    for c in found:
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
+    for run, _ in split.pre_tokenize_str(every):
+        for c in map(ord, run):
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
 
 
-def word_pattern() -> re.Pattern:
+def lowered_apart() -> dict[int, str]:
+    """Characters that the library lowers otherwise than Python, for the same reason."""
+    from tokenizers import normalizers
+
+    lower = normalizers.Lowercase().normalize_str
+    every = (chr(c) for c in range(128, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    return {ord(c): got for c in every if (got := lower(c)) != c.lower()}
+
+
+def word_pattern(letter: str, number: str) -> re.Pattern:
     """What counts as a word: an English clitic, letters, one number, or a run of anything else that isn't white space."""
-    letter, number = letters_of("L"), letters_of("N")
     clitics = "|".join(f"'{x}" for x in ("s", "t", "re", "ve", "m", "ll", "d"))
     return re.compile(f"{clitics}|[{letter}]+|[{number}]|[^{WHITE}{letter}{number}]+")
 
 
+class Known:
+    """What a worker remembers: ids of words (as byte characters) and of chunks of text, apart, since one may read like the other."""
+
+    def __init__(self):
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+
+    @staticmethod
+    def keep(where: dict[str, bytes], name: str, ids: bytes) -> None:
+        if len(where) >= REMEMBERED:
+            where.clear()
+        where[name] = ids
+
+
 class WordBPE:
     """A BPE vocabulary with word ends, read from a tokenizers JSON file. Made once on the driver; workers get a copy."""
 
@@ -74,6 +103,7 @@ class WordBPE:
         model, suffix = spec["model"], spec["model"]["end_of_word_suffix"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         made = {a + b for a, b in merges}
+        self.letter, self.number, self.apart = members_of("L"), members_of("N"), lowered_apart()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ids: dict[str, int] = model["vocab"]
         form: dict[str, str] = {}
@@ -108,7 +138,7 @@ class WordBPE:
         return apart
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "shorter", "finder", "splitter", "to_chars", "compatible")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "shorter", "finder", "splitter", "to_chars", "compatible", "lowered")}
 
     @cached_property
     def automaton(self):
@@ -133,12 +163,17 @@ class WordBPE:
 
     @cached_property
     def finder(self):
-        return word_pattern().findall
+        return word_pattern(self.letter, self.number).findall
 
     @cached_property
     def splitter(self):
         return re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.special, key=len, reverse=True)))
 
+    @cached_property
+    def lowered(self):
+        """Finds a character that the library lowers otherwise than Python."""
+        return re.compile(f"[{''.join(map(chr, self.apart))}]" if self.apart else "(?!)").search
+
     @cached_property
     def to_chars(self) -> dict[int, str]:
         return dict(enumerate(byte_chars()))
@@ -201,16 +236,16 @@ class WordBPE:
             else:
                 token = self.shorter.get(i)
 
-    def chunk(self, chunk: str, known: dict[str, bytes]) -> bytes:
+    def chunk(self, chunk: str, known: Known) -> bytes:
         """Packed token ids of text without white space."""
-        out = []
+        out, words = [], known.words
         for w in self.finder(chunk):
             chars = (w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.to_chars)) + END
-            got = known.get(chars)
+            got = words.get(chars)
             if got is None:
                 got = array("I", self.encode_word(chars)).tobytes()
                 if len(chars) <= LONGEST:
-                    known[chars] = got
+                    known.keep(words, chars, got)
             out.append(got)
         return b"".join(out)
 
@@ -219,15 +254,18 @@ class WordBPE:
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
-            text = text.replace("Σ", "σ")  # no final form: characters are lowered one by one
-        text = text.lower()
+            text = text.replace("Σ", "σ").lower()  # no final form: characters are lowered one by one
+            if self.lowered(text):
+                text = text.translate(self.apart)
+        else:
+            text = text.lower()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return [x for x in re.split(f"[{WHITE}]+", text) if x]
         return text.split()
 
-    def packed(self, text: str, known: dict[str, bytes]) -> bytes:
+    def packed(self, text: str, known: Known) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        out = []
+        out, chunks = [], known.chunks
         for k, part in enumerate(self.splitter.split(text)) if "<|" in text else ((0, text),):
             if not part:
                 continue
@@ -235,13 +273,11 @@ class WordBPE:
                 out.append(self.special[part].to_bytes(4, "little"))
                 continue
             for chunk in self.clean(part):
-                got = known.get(chunk)
+                got = chunks.get(chunk)
                 if got is None:
                     got = self.chunk(chunk, known)
-                    if len(known) >= REMEMBERED:
-                        known.clear()
                     if len(chunk) <= LONGEST:
-                        known[chunk] = got
+                        known.keep(chunks, chunk, got)
                 out.append(got)
         return b"".join(out)
 
@@ -280,7 +316,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", de
     return map_texts(df, key, text, work, f"`{key}` {kind}, ids binary, n_tokens bigint" + ", decoded string" * decoded)
 
 
-_known: dict[str, bytes] = {}
+_known = Known()
 
 
 def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
