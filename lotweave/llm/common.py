@@ -145,6 +145,6 @@ def map_texts(df: DataFrame, key: str, text: str, work: Callable[[pa.Array, pa.A
         for batch in batches:
             for part in slices(batch, limit=limit):
                 yield from work(*part.columns)
-            release()
+                release()
 
     return chosen.mapInArrow(run, schema)

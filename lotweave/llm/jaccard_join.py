@@ -6,13 +6,17 @@ DivideSkip: a set's rarest shingles give its short lists, as many as guarantee t
 those lists are built by one exchange and merged, and the L long ones are never read: a candidate that is on at least T - L of
 the short ones is probed in them by binary search, shingle by shingle, in the candidate's own sorted set.
 
-Rarity comes from a saturating count sketch of a fixed size. Any order of shingles gives the same links; a good one gives few
-candidates. In lists of many members, only pairs are taken that can reach T if this is their first common shingle.
-
-A list whose members pair off too often (a large group of near copies), or that is very long, isn't paired off. Each member
-first tries a few others, which contracts near copies into few components; where members are left in different components, the
-list is cut into blocks, and each pair of blocks with different components gets a local DivideSkip search that gives a spanning
-set of links.
+Rarity comes from a count sketch of a fixed number of cells, whose exact sums are kept as levels on a logarithmic scale, so that
+it never saturates: however large the corpus, a shingle that is frequent against a cell's mean comes last. Any order of shingles
+gives the same links; a good one gives few candidates. In lists of many members, only pairs are taken that can reach T if this is
+their first common shingle.
+
+Lists are sorted by Spark and read one after the other, so a task holds one list of at most LONGEST members. Longer lists are
+found by counting those shingles whose cells are that full, and are dealt to many tasks by range of shingle, size and node. A long
+list, or one whose members pair off too often (a large group of near copies), isn't paired off. Each member first tries a few
+others, which contracts near copies into few components; where members are left in different components, the list is cut into
+blocks by size, and each pair of blocks with different components whose sizes allow links gets a local DivideSkip search that
+gives a spanning set of links.
 
 Links become components by alternating large and small stars over written tables. For these a spanning set of links is enough; all
 links lie within components, so their numbers are counted there: blocks of each component (or of several small ones) are held
@@ -33,16 +37,24 @@ from lotweave.llm.common import BATCH_BYTES, documents, durable, importable, map
 
 WORDS, PERCENT = 4, 85
 #: Lists up to LONG members are paired off; longer ones if no more than TRIES pairs a member can reach T; none over LONGEST.
-LONG, TRIES, LONGEST = 32, 16, 1024
+LONG, TRIES, LONGEST = 32, 16, 512
+#: Texts whose sets a worker makes at once.
+SET_BYTES = 1 << 20
 SURE = 1 << 40
-#: Sketches of that many groups of tasks are summed side by side first.
-SPREAD = 8
-NAMES = ["token", "x", "y", "nx", "ny", "times"]
+#: Sketches of that many tasks, or sums of them, are summed at once.
+FAN_IN = 32
+#: Cells in a piece of a sketch, and steps of an octave in which counts are told apart.
+PIECE, STEPS = 1 << 14, 256
+NAMES = ["token", "x", "y", "nx", "ny", "n", "times"]
+#: Rows of lists that are handled at once, and pairs that are gathered before they are given out.
+ROWS, PAIRS = 1 << 16, 1 << 17
+#: Nodes of a forest that a task of components gathers.
+FOREST = 1 << 18
 #: How far apart in the order of sizes the members of other lists are that try each other; sets in a block of such a list.
 APART, BLOCK = (1, 3, 8, 21), 512
 #: Where overlaps are counted: owners' pairs up to which a shingle's are listed, and shingles of a product of matrices.
 DENSE, COLUMNS = 1 << 12, 1 << 12
-#: Counters of the sketch: 4 a text within these bounds (a byte each).
+#: Cells of the sketch: 4 a text within these bounds. They bound what is broadcast, not what is counted.
 LEAST_BITS, MOST_BITS = 12, 22
 
 
@@ -68,58 +80,72 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a.view(np.int64))), int(np.int64(b.view(np.int64)))
 
 
-def summed(df: DataFrame, size: int) -> np.ndarray:
-    """Saturating sums (at 255) of fixed-size byte arrays in pieces: rows (piece int, counts binary, spread int) by piece and spread, then by piece.
-
-    The result has `size` bytes, whatever the input.
-    """
+def summed(df: DataFrame, tasks: int, size: int) -> np.ndarray:
+    """Exact sums of (piece int, task int, counts binary) rows by piece, FAN_IN of them at a time; `size` numbers, whatever the input."""
     importable(df.sparkSession)
 
     def add(table: pa.Table) -> pa.Table:
-        total = None
+        total = np.zeros(PIECE, np.int64)
         for c in table.column("counts"):
-            one = np.frombuffer(c.as_buffer(), np.uint8).astype(np.int32)
-            total = one if total is None else np.minimum(total + one, 255)
-        return pa.table({"piece": pa.array([table.column("piece")[0].as_py()], pa.int32()), "counts": pa.array([total.astype(np.uint8).tobytes()], pa.binary()), "spread": pa.array([0], pa.int32())})
-
-    schema = "piece int, counts binary, spread int"
-    rows = df.groupBy("piece", "spread").applyInArrow(add, schema).groupBy("piece").applyInArrow(add, schema).collect()
-    out = np.zeros(size, np.uint8)
-    piece = min(size, 1 << 16)
-    for r in rows:
-        out[r.piece * piece : (r.piece + 1) * piece] = np.frombuffer(r.counts, np.uint8)
-    return out
+            total += levels_of(c)
+        return pa.table({"piece": table.column("piece")[:1], "task": table.column("task")[:1], "counts": pa.array([squeezed(total)], pa.binary())})
+
+    while True:
+        df = df.withColumn("task", F.expr(f"task div {FAN_IN}").cast("int")).groupBy("piece", "task").applyInArrow(add, "piece int, task int, counts binary")
+        tasks = -(-tasks // FAN_IN)
+        if tasks <= 1:
+            break
+    out = np.zeros(max(size, PIECE), np.int64)
+    for r in df.collect():  # one row a piece
+        out[r.piece * PIECE : (r.piece + 1) * PIECE] = levels_of(r.counts)
+    return out[:size]
+
+
+def squeezed(counts: np.ndarray) -> bytes:
+    """Counts as bytes, with the narrowest of three widths in front."""
+    kind = next(k for k in ("u1", "u4", "u8") if counts.max() < 1 << 8 * int(k[1]) or k == "u8")
+    return kind[1].encode() + counts.astype(kind).tobytes()
+
+
+def levels_of(squeezed) -> np.ndarray:
+    b = squeezed if isinstance(squeezed, bytes | bytearray) else squeezed.as_buffer()
+    return np.frombuffer(b, f"u{bytes(b[:1]).decode()}", offset=1).astype(np.int64)
 
 
 def counted(df: DataFrame, column: str, bits: int, cells) -> np.ndarray:
-    """The sketch of all cells(batch column) of df[column]: each task sums its own first."""
+    """Exact counts of all cells(batch column) of df[column]: each task counts its own first."""
     importable(df.sparkSession)
     size = 1 << bits
-    piece = min(size, 1 << 16)
 
     def run(batches):
         from pyspark import TaskContext
 
-        total, some = np.zeros(size, np.uint8), [np.zeros(0, np.int64)]
+        total, some = np.zeros(max(size, PIECE), np.uint32), [np.zeros(0, np.int64)]
 
         def add():
             cell, n = np.unique(np.concatenate(some), return_counts=True)
             some[:] = some[:1]
-            total[cell] = np.minimum(total[cell] + np.minimum(n, 255), 255)
+            total[cell] += n.astype(np.uint32)
 
         for batch in batches:
             for part in slices(batch, 0, BATCH_BYTES >> 1):
                 for c in cells(part.column(0)):
                     some.append(c)
-                if sum(map(len, some)) > 1 << 19:
+                if sum(map(len, some)) > 1 << 18:
                     add()
-            release()
+                release()
         add()
-        for k in range(0, size, piece):
-            if total[k : k + piece].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // piece], pa.int32()), pa.array([total[k : k + piece].astype(np.uint8).tobytes()], pa.binary()), pa.array([TaskContext.get().partitionId() % SPREAD], pa.int32())], names=["piece", "counts", "spread"])
+        for k in range(0, len(total), PIECE):
+            if total[k : k + PIECE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // PIECE], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([squeezed(total[k : k + PIECE])], pa.binary())], names=["piece", "task", "counts"])
+
+    chosen = df.select(column)
+    return summed(chosen.mapInArrow(run, "piece int, task int, counts binary"), chosen.rdd.getNumPartitions(), size)
+
 
-    return summed(df.select(column).mapInArrow(run, "piece int, counts binary, spread int"), size)
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Counts on a logarithmic scale, as 16-bit numbers."""
+    return np.minimum(np.rint(np.log2(counts + 1.0) * STEPS), 65535).astype(np.uint16)
 
 
 FILTER_BITS = 22
@@ -144,8 +170,8 @@ def only_marked(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, sets.schema)
 
 
-def shingled(df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """(key, n, a, b, short): the set's size, its signature, and its rarest shingles in order."""
+def shingled(df: DataFrame, key: str, text: str, words: int, percent: int, longest: int) -> DataFrame:
+    """(key, n, a, b, short, full): the set's size, its signature, its rarest shingles in order, and which of them may be in over `longest` sets."""
     rows = df.count()
     bits = min(MOST_BITS, max(LEAST_BITS, (4 * rows).bit_length()))
     shift = np.uint64(64 - bits)
@@ -153,104 +179,154 @@ def shingled(df: DataFrame, key: str, text: str, words: int, percent: int) -> Da
     def cells(texts):
         yield np.concatenate([(s >> shift).astype(np.int64) for s in _sets(texts, words)] or [np.zeros(0, np.int64)])
 
-    sketch = df.sparkSession.sparkContext.broadcast(counted(df.select(F.col(text).alias("_t")), "_t", bits, cells))  # 2 ** MOST_BITS bytes at most
+    sketch = df.sparkSession.sparkContext.broadcast(levels(counted(df.select(F.col(text).alias("_t")), "_t", bits, cells)))  # 2 << MOST_BITS bytes at most
+    most = int(levels(np.array([longest]))[0])
     kind = df.schema[key].dataType.simpleString()
 
     def work(keys: pa.Array, texts: pa.Array):
-        out = []
+        out, rare, full = [], [], []
         for s in _sets(texts, words):
-            rare = s[np.lexsort((s, sketch.value[(s >> shift).astype(np.int64)]))[: n_short(len(s), percent)]] if len(s) else s
-            out.append((len(s), *_signature(s), rare.view(np.int64)))
-        columns = list(zip(*out, strict=True))
-        arrays = [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(columns[3], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([keys, *arrays], names=["id", "n", "a", "b", "short"])
-
-    return map_texts(df, key, text, work, f"id {kind}, n bigint, a bigint, b bigint, short array<bigint>")
+            level = sketch.value[(s >> shift).astype(np.int64)]
+            order = np.lexsort((s, level))[: n_short(len(s), percent)] if len(s) else np.zeros(0, np.int64)
+            out.append((len(s), *_signature(s)))
+            rare.append(s[order].view(np.int64))
+            full.append(level[order] >= most)
+        ends = np.cumsum([0, *map(len, rare)])
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x))) for x in (rare, full)]
+        arrays = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+        yield pa.RecordBatch.from_arrays([keys, *arrays, *lists], names=["id", "n", "a", "b", "short", "full"])
+
+    return map_texts(df, key, text, work, f"id {kind}, n bigint, a bigint, b bigint, short array<bigint>, full array<boolean>", limit=SET_BYTES)
+
+
+def whole_lists(batches, rows: int):
+    """Arrays (token, node, n, at) of some whole lists at a time, from batches that are sorted by token."""
+    carry, size = [], 0
+    for b in batches:
+        if not len(b):
+            continue
+        carry.append(np.stack([np.asarray(c) for c in b.columns]))
+        size += len(b)
+        if size < rows:
+            continue
+        every = np.concatenate(carry, 1)
+        last = int(np.searchsorted(every[0], every[0, -1]))  # the last list may go on in the next batch
+        if last:
+            yield every[:, :last]
+        carry, size = [every[:, last:].copy()], every.shape[1] - last
+    if size:
+        yield np.concatenate(carry, 1)
+
+
+class Pairs:
+    """Gathers rows of NAMES: pairs, summed by their nodes, and members."""
+
+    def __init__(self):
+        self.some: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, x, y, nx, ny, times: int) -> None:
+        turned = x > y
+        x, y, nx, ny = np.where(turned, y, x), np.where(turned, x, y), np.where(turned, ny, nx), np.where(turned, nx, ny)
+        self.some.append(np.stack([x, y, nx, ny, np.full(len(x), times)]))
+        self.size += len(x)
+
+    def rows(self) -> pa.RecordBatch:
+        x, y, nx, ny, times = np.concatenate(self.some, 1)
+        self.__init__()
+        order = np.lexsort((y, x))
+        x, y, nx, ny, times = x[order], y[order], nx[order], ny[order], times[order]
+        new = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(times, new) if len(x) else times
+        none = pa.nulls(len(new), pa.int64())
+        return pa.RecordBatch.from_arrays([none, *map(pa.array, (x[new], y[new], nx[new], ny[new])), none, pa.array(sums)], names=NAMES)
+
+    @staticmethod
+    def members(token, node, n, very: int) -> pa.RecordBatch:
+        none = pa.nulls(len(token), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), none, none, none, pa.array(n), pa.array(np.full(len(token), very))], names=NAMES)
+
+
+def tried(node, n, percent: int, pairs: Pairs) -> None:
+    """Adds the pairs that members of one list, in order of size, try: with those APART from them."""
+    for d in APART:
+        u, v, m, k = node[:-d], node[d:], n[:-d], n[d:]
+        near = (100 * m >= percent * k) & (u != v)
+        pairs.add(u[near], v[near], m[near], k[near], SURE)
 
 
 def candidates(lists: DataFrame, percent: int, long: int) -> DataFrame:
-    """From (token, node, n, at) rows that are dealt by token: pairs (x, y, nx, ny, times) and members (token, x, times).
+    """From (token, node, n, at) rows: pairs (x, y, nx, ny, times) and members (token, x, n, times).
 
     times is how many lists of up to `long` members a pair shares, or SURE if it is a candidate anyhow; of a member it is 1 if its
-    list is very long or pairs off too often, and else 0.
+    list is very long or pairs off too often, and else 0. A task has whole lists, which are of LONGEST members at most.
     """
 
     def run(batches):
-        parts = [np.stack([np.asarray(c) for c in b.columns]) for b in batches if len(b)]
-        if not parts:
-            return
-        token, node, n, at = np.concatenate(parts, 1)
-        order = np.lexsort((node, n, token))
-        token, node, n, at = token[order], node[order], n[order], at[order]
-        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        size = np.diff(np.append(first, len(token)))
-        pairs: list[np.ndarray] = []
-
-        def similar(p, q):
-            """Whether members p and q (p's set not larger) have sizes that let them link."""
-            return (100 * n[p] >= percent * n[q]) & (node[p] != node[q])
-
-        def reach(p, q):
-            """The same, if this is their first common shingle: what follows it bounds the overlap."""
-            return similar(p, q) & (np.minimum(n[p] - at[p], n[q] - at[q]) >= needed(n[p], n[q], percent))
-
-        def keep(p, q, times):
-            turned = node[p] > node[q]
-            p, q = np.where(turned, q, p), np.where(turned, p, q)
-            pairs.append(np.stack([node[p], node[q], n[p], n[q], np.full(len(p), times)]))
-
-        def emit():
-            x, y, nx, ny, times = np.concatenate(pairs, 1)
-            pairs.clear()
-            order = np.lexsort((y, x))
-            x, y, nx, ny, times = x[order], y[order], nx[order], ny[order], times[order]
-            new = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else np.zeros(0, np.int64)
-            sums = np.add.reduceat(times, new) if len(x) else times
-            return pa.RecordBatch.from_arrays([pa.nulls(len(new), pa.int64()), *map(pa.array, (x[new], y[new], nx[new], ny[new], sums))], names=NAMES)
-
-        def members(p, very):
-            none = pa.nulls(len(p), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(token[p]), pa.array(node[p]), none, none, none, pa.array(np.full(len(p), very))], names=NAMES)
-
-        for length in np.unique(size):
-            if length < 2:
-                continue
-            starts = first[size == length]
-            if length <= long:  # all lists of one length at once
+        pairs = Pairs()
+        for token, node, n, at in whole_lists(batches, ROWS):
+            first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            size = np.diff(np.append(first, len(token)))
+
+            def similar(p, q, node=node, n=n):
+                """Whether members p and q (p's set not larger) have sizes that let them link."""
+                return (100 * n[p] >= percent * n[q]) & (node[p] != node[q])
+
+            for length in np.unique(size[(size > 1) & (size <= long)]):  # all lists of one length at once
+                starts = first[size == length]
                 i, j = np.triu_indices(length, 1)
-                per = max(1, (1 << 18) // len(i))
+                per = max(1, PAIRS // len(i))
                 for k in range(0, len(starts), per):
                     s = starts[k : k + per, None]
                     p, q = (s + i).ravel(), (s + j).ravel()
                     good = similar(p, q)
-                    keep(p[good], q[good], 1)
-                    if sum(x.shape[1] for x in pairs) > 1 << 18:
-                        yield emit()
-            else:
-                for s in starts:
-                    p = np.arange(s, s + length)
-                    good = None
-                    if length <= LONGEST:
-                        i, j = np.triu_indices(length, 1)
-                        good = reach(p[i], p[j])
-                    if good is not None and good.sum() <= TRIES * length:
-                        keep(p[i[good]], p[j[good]], SURE)
-                        yield members(p, 0)
-                    else:
-                        yield members(p, 1)
-                        for d in APART:
-                            u, v = p[:-d], p[d:]
-                            near = similar(u, v)
-                            keep(u[near], v[near], SURE)
-                    if sum(x.shape[1] for x in pairs) > 1 << 18:
-                        yield emit()
-        if pairs:
-            yield emit()
-        del token, node, n, at, order, first, size, parts
+                    p, q = p[good], q[good]
+                    pairs.add(node[p], node[q], n[p], n[q], 1)
+                    if pairs.size > PAIRS:
+                        yield pairs.rows()
+            for s, length in zip(first[size > long], size[size > long], strict=True):
+                p = np.arange(s, s + length)
+                i, j = np.triu_indices(length, 1)
+                # If this is their first common shingle, what follows it bounds the overlap.
+                good = similar(p[i], p[j]) & (np.minimum((n - at)[p[i]], (n - at)[p[j]]) >= needed(n[p[i]], n[p[j]], percent))
+                very = good.sum() > TRIES * length
+                if very:
+                    tried(node[p], n[p], percent, pairs)
+                else:
+                    p, q = p[i[good]], p[j[good]]
+                    pairs.add(node[p], node[q], n[p], n[q], SURE)
+                yield pairs.members(token[s : s + length], node[s : s + length], n[s : s + length], int(very))
+                if pairs.size > PAIRS:
+                    yield pairs.rows()
+        if pairs.some:
+            yield pairs.rows()
         release()
 
     importable(lists.sparkSession)
-    return lists.mapInArrow(run, ", ".join(f"{c} bigint" for c in NAMES))
+    return lists.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(run, ", ".join(f"{c} bigint" for c in NAMES))
+
+
+def tries(lists: DataFrame, percent: int) -> DataFrame:
+    """candidates() for lists of any length, which are split over tasks: members, and the pairs that they try."""
+
+    def run(batches):
+        pairs = Pairs()
+        for b in batches:
+            if not len(b):
+                continue
+            token, node, n, _ = [np.asarray(c) for c in b.columns]
+            yield pairs.members(token, node, n, 1)
+            edges = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            for s, e in zip(edges, np.append(edges[1:], len(token)), strict=True):
+                tried(node[s:e], n[s:e], percent, pairs)
+            if pairs.size > PAIRS:
+                yield pairs.rows()
+        if pairs.some:
+            yield pairs.rows()
+
+    importable(lists.sparkSession)
+    order = ["token", "n", "node"]
+    return lists.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, ", ".join(f"{c} bigint" for c in NAMES))
 
 
 def worth_checking(found: DataFrame, percent: int) -> DataFrame:
@@ -338,7 +414,7 @@ def stars(edges: DataFrame) -> DataFrame:
     """(node, root): components of (x, y) edges; root is a component's least node.
 
     Alternating large and small stars: each node points its larger neighbours to the least of its neighbourhood, then its
-    smaller ones. A pass over each task's own edges comes first, which shortens chains.
+    smaller ones. A pass over runs of each task's own edges comes first, which shortens chains.
     """
     importable(edges.sparkSession)
 
@@ -351,13 +427,19 @@ def stars(edges: DataFrame) -> DataFrame:
                 u = root[u]
             return u
 
+        def kept():
+            some = [(u, find(u)) for u in root if find(u) != u]
+            root.clear()
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in some], pa.int64()), pa.array([v for _, v in some], pa.int64())], names=["u", "v"])
+
         for b in batches:
             for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 a, c = find(u), find(v)
                 if a != c:
                     root[max(a, c)] = min(a, c)
-        kept = [(u, find(u)) for u in root if find(u) != u]
-        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in kept], pa.int64()), pa.array([v for _, v in kept], pa.int64())], names=["u", "v"])
+            if len(root) > FOREST:
+                yield kept()
+        yield kept()
 
     edges = durable(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").mapInArrow(forest, "u bigint, v bigint").distinct())
     seen = None
@@ -375,46 +457,44 @@ def stars(edges: DataFrame) -> DataFrame:
 
 
 def long_lists(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame | None:
-    """Links between members of long lists that are still in different components; members: (token, node)."""
-    labelled = durable(members.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("label")).distinct())
-    per = labelled.groupBy("token", "label").agg(F.count("*").alias("c"))
-    open_ = durable(per.groupBy("token").agg(F.sum("c").alias("total"), F.count("*").alias("labels")).where("labels > 1"))
+    """Links between members of long lists that are still in different components; members: (token, node, n).
+
+    Sizes are cut into bands so wide that only sets of one band or of neighbouring ones can link; blocks lie within a band.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
+    labelled = durable(members.withColumn("band", band).join(roots, "node", "left").select("token", "node", "band", F.coalesce("root", "node").alias("label")).distinct())
+    per = labelled.groupBy("token", "band", "label").agg(F.count("*").alias("c"))
+    open_ = durable(per.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token"))
     if not open_.limit(1).count():
         return None
+    per = durable(per.join(open_, "token"))
+    total = per.groupBy("token", "band").agg(F.sum("c").alias("total"))
     # Large components get blocks of their own, small ones share some.
-    sized = labelled.join(open_, "token").join(per, ["token", "label"])
+    sized = labelled.join(per, ["token", "band", "label"]).join(total, ["token", "band"])
     own = F.concat(F.lit("c"), F.col("label"), F.lit("/"), F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / block)))
-    dealt = durable(sized.select("token", "node", "label", F.when(F.col("c") >= block, own).otherwise(F.concat(F.lit("s"), F.pmod(F.xxhash64("label"), F.ceil(F.col("total") / block)))).alias("block")))
-    blocks = durable(dealt.groupBy("token", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
-    other = blocks.select("token", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    cells = blocks.join(other, "token").where("block <= block2").where("least(lo, lo2) < greatest(hi, hi2)").select("token", "block", "block2")
+    dealt = durable(sized.select("token", "band", "node", "label", F.when(F.col("c") >= block, own).otherwise(F.concat(F.lit("s"), F.pmod(F.xxhash64("label"), F.ceil(F.col("total") / block)))).alias("block")))
+    blocks = durable(dealt.groupBy("token", "band", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
+    other = blocks.select("token", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("band").alias("band2"), F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    cells = blocks.join(other, ["token", "band"]).where("band < band2 or block <= block2").where("least(lo, lo2) < greatest(hi, hi2)")
     # Equal cells of several lists (the same near copies) are searched once.
-    cells = cells.select("token", F.array("block", "block2").alias("cell"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
-    rows = cells.join(dealt, ["token", "block"]).join(only_marked(sets, cells.join(dealt, ["token", "block"]).select("node")), "node").select("token", F.concat_ws("|", "cell").alias("cell"), "node", "label", "block", "items")
+    sides = F.array(F.struct("band", "block"), F.struct(F.col("band2").alias("band"), F.col("block2").alias("block")))
+    cells = cells.select("token", F.concat_ws("|", "band", "block", "band2", "block2").alias("cell"), F.explode(F.array_distinct(sides)).alias("side")).select("token", "cell", "side.*")
+    asked = cells.join(dealt, ["token", "band", "block"])
+    rows = asked.join(only_marked(sets, asked.select("node")), "node").select("token", "cell", "node", "label", "items")
 
     def search(table: pa.Table) -> pa.Table:
-        nodes, labels = table.column("node").to_pylist(), table.column("label").to_pylist()
+        node = np.asarray(table.column("node"))
         items = [np.frombuffer(c.as_buffer(), np.uint64) for c in table.column("items")]
-        parent = {x: x for x in labels}
-
-        def find(u):
-            while parent[u] != u:
-                u = parent[u]
-            return u
-
         index = Inverted(items)
-        name, times = np.unique(np.array(labels), return_counts=True)
-        most = name[times.argmax()]
+        name, label, times = np.unique(np.asarray(table.column("label")), return_inverse=True, return_counts=True)
         xs, ys = [], []
         # Each pair of different components has a member outside the most frequent one.
-        for q in [k for k, x in enumerate(labels) if x != most]:
-            own = find(labels[q])
-            skip = np.array([find(x) == own for x in labels])
-            for k in index.search(items[q], percent, skip):
-                if find(labels[k]) != find(labels[q]):
-                    xs.append(min(nodes[k], nodes[q]))
-                    ys.append(max(nodes[k], nodes[q]))
-                    parent[find(labels[k])] = find(labels[q])
+        for q in np.flatnonzero(label != times.argmax()):
+            for k in index.search(items[q], percent, label == label[q]):
+                if label[k] != label[q]:
+                    xs.append(min(node[k], node[q]))
+                    ys.append(max(node[k], node[q]))
+                    label[label == label[k]] = label[q]
         return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 
     return rows.groupBy("token", "cell").applyInArrow(search, "x bigint, y bigint")
@@ -502,13 +582,19 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
     """
     spark = df.sparkSession
     importable(spark)
-    docs = durable(shingled(df, key, text, words, percent))
-    classes = docs.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("least"), F.first("short").alias("short"))
+    docs = durable(shingled(df, key, text, words, percent, LONGEST))
+    classes = docs.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("least"), F.first(F.arrays_zip("short", "full")).alias("short"))
     classes = durable(classes.withColumn("node", F.monotonically_increasing_id()))
-    lists = classes.select(F.posexplode("short").alias("at", "token"), "node", "n").select("token", "node", "n", F.col("at").cast("bigint"))
-    found = durable(candidates(lists.repartition("token"), percent, long))
+    lists = classes.select(F.posexplode("short").alias("at", "s"), "node", "n").select("s.short", "node", "n", F.col("at").cast("bigint"), "s.full").withColumnRenamed("short", "token")
+    full = lists.where("full").drop("full")
+    hot = durable(full.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > LONGEST).select("token"))
+    lists = lists.drop("full")
+    if hot.limit(1).count():
+        found = durable(candidates(lists.join(hot, "token", "left_anti"), percent, long).unionByName(tries(full.join(hot, "token", "left_semi"), percent)))
+    else:
+        found = durable(candidates(lists, percent, long))
     pairs = durable(worth_checking(found, percent))
-    members = found.where("y is null and times = 1").select("token", F.col("x").alias("node"))
+    members = found.where("y is null and times = 1").select("token", F.col("x").alias("node"), "n")
     # Sets of the nodes that are asked for: texts are read again, and a fixed-size filter by signature spares most of them.
     asked = pairs.select(F.explode(F.array("x", "y")).alias("node")).unionByName(members.select("node")).distinct()
     asked = durable(classes.select("node", "n", "a", "b", "least").join(asked, "node"))
@@ -528,7 +614,7 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.binary())], names=["id", "n", "a", "b", "items"])
 
     kind = df.schema[key].dataType.simpleString()
-    some = map_texts(df, key, text, items, f"id {kind}, n bigint, a bigint, b bigint, items binary").withColumnRenamed("id", "_id")
+    some = map_texts(df, key, text, items, f"id {kind}, n bigint, a bigint, b bigint, items binary", limit=SET_BYTES).withColumnRenamed("id", "_id")
     # One text speaks for a class (or equal rows of it do, which find the same links).
     sets = durable(some.join(asked, ["n", "a", "b"]).where(F.col("_id").eqNullSafe(F.col("least"))).select("node", "items"))
     # The pair of each set that shares most lists comes first; that leaves few others between different components.

@@ -53,6 +53,8 @@ def near_copies():
 def test_components_equal_brute_force(spark, monkeypatch, words, percent, long, block, tries):
     monkeypatch.setattr(J, "TRIES", tries)
     monkeypatch.setattr(J, "APART", (1,))
+    if not tries:  # lists of more than four members are dealt by range
+        monkeypatch.setattr(J, "LONGEST", 4)
     rows = near_copies()
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n long")
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.components(df, words=words, percent=percent, long=long, block=block).collect())
@@ -100,3 +102,27 @@ def test_all_links_are_counted(spark, monkeypatch, words, percent, long, block,
     got = sorted((r.doc_id, r.n_links) for r in J.components(df, words=words, percent=percent, long=long, block=block).collect())
     want = sorted((k, n) for (k, _), n in zip(rows, brute_links(rows, words, percent), strict=True))
     assert got == want and max(n for _, n in want) >= 39
+
+
+def test_null_ids_and_a_shingle_in_all_texts(spark):
+    rng = random.Random(3)
+    common = "all rights reserved by the authors of this text"
+    rows = [(k, f"{common} " + " ".join(rng.choice("abcdefghij") + str(rng.randrange(50)) for _ in range(rng.choice([2, 30, 400])))) for k in range(120)]
+    rows += [(200 + k, rows[k][1]) for k in range(5)] + [(None, "a text of its own with no number"), (None, rows[7][1]), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in J.components(df, count=False).collect()}
+    want = {(k, n): c for k, n, c in brute([(k, t) for k, t in rows if k is not None], 4, 85)}
+    assert {k: v for k, v in got.items() if k[0] is not None} == want
+    assert sorted((n, c) for (k, n), c in got.items() if k is None) == sorted([(5, None), (want_n(want, 7), 7), (0, None)], key=lambda x: x[0])
+
+
+def want_n(want, doc):
+    return next(n for k, n in want if k == doc)
+
+
+def test_sums_of_sketches_are_exact(spark):
+    df = spark.range(0, 5000, 1, 70).selectExpr("id % 37 AS v")
+    counts = J.counted(df, "v", 12, lambda a: [np.asarray(a)])
+    assert len(counts) == 4096 and counts[:37].tolist() == [len(range(k, 5000, 37)) for k in range(37)] and counts[37:].sum() == 0
+    assert np.array_equal(J.levels_of(J.squeezed(counts * (1 << 40))), counts * (1 << 40))
+    assert (np.diff(J.levels(2 ** np.arange(60))) > 0).all()
