@@ -3,11 +3,15 @@
 The model is the corpus itself: counts of words and of word runs up to `order`, of which runs seen less than `least` times are
 left out. A word scores count(run) / count(run without the word) for the longest run before and with it that is in the
 tables, times 0.4 for each order stepped down; the last order is count(word) / all words. A text's score is the sum of logs.
+The texts scored are the corpus, so a run seen once is the text's own: if it were kept, each run would vouch for itself and no
+word would ever back off.
 
 All of it is one relational round trip. Texts are dealt into batches; a batch asks for each of its different n-grams once,
 with its own count; asks are partitioned by the hash of the n-gram, summed there, and the sums go back to the batches that
 asked, where they are joined to the texts' n-grams and summed per text. A frequent n-gram is one ask a batch, so no partition
-grows with it; the number of asks and answers grows with the input. The run of no words stands for the total.
+grows with it; the bytes of asks and answers grow with the input. Batches and partitions hold BATCH_BYTES of texts and
+PART_BYTES of asks, whatever the input, so a batch's asks travel in as many pieces as there are partitions. The run of no words
+stands for the total. Codes of n-grams have CODE_BITS bits: at 10 ** 13 different ones about one in 7,000 shares its code.
 
 Defined cases: null and empty texts have 0 words and score 0; equal rows get equal results; words are split at ASCII white
 space and A-Z lowered; texts of any length are handled whole. Other columns are not read.
@@ -23,11 +27,13 @@ from pyspark.sql import functions as F
 from lotweave.llm import codes
 from lotweave.llm.common import documents, importable, text_bytes
 
-ORDER, LEAST, ALPHA = 2, 2, 0.4
-#: Texts in a batch, about. There are as many partitions of n-grams as batches.
-BATCH = 2048
+ORDER, LEAST, ALPHA = 3, 2, 0.4
+#: Bytes of texts in a batch, and of asks in a partition of n-grams (about twice the texts' bytes are asked in all).
+BATCH_BYTES, PART_BYTES = 12 << 20, 32 << 20
+CODE_BITS = 56
+SHIFT = np.uint64(64 - CODE_BITS)
 
-TOTAL = np.uint64(0x0123456789ABCDEF)  # the code of the run of no words
+TOTAL = np.uint64(0x0123456789ABCDEF) >> SHIFT  # the code of the run of no words
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -53,10 +59,10 @@ class Grams:
     def __init__(self, texts: pa.Array, order: int):
         own, self.first = codes.words(*text_bytes(texts))
         at = np.arange(len(own)) - np.repeat(self.first[:-1], np.diff(self.first))  # places of words in their texts
-        self.runs = {1: (own, np.arange(len(own)))}
+        self.runs = {1: (own >> SHIFT, np.arange(len(own)))}
         for n in range(2, order + 1):
             good = np.flatnonzero(at >= n - 1)
-            self.runs[n] = (codes.runs(own, n)[good - (n - 1)], good)
+            self.runs[n] = (codes.runs(own, n)[good - (n - 1)] >> SHIFT, good)
         self.n_words = len(own)
 
     def asked(self) -> tuple[np.ndarray, np.ndarray]:
@@ -67,17 +73,17 @@ class Grams:
         return found, n
 
 
-def scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, least: int = LEAST, batch: int = BATCH) -> DataFrame:
+def scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, least: int = LEAST, batch_bytes: int = BATCH_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """(key, n_words, log_score) of each row."""
     importable(df.sparkSession)
-    n = df.count() // batch + 1
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n, n_parts = size // batch_bytes + 1, 2 * size // part_bytes + 1
     dealt = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).withColumn("batch", F.pmod(F.xxhash64("_k", "_t"), F.lit(n)))
-    width = -(-(1 << 64) // n)
+    width = -(-(1 << CODE_BITS) // n_parts)
 
     def ask(table: pa.Table) -> pa.Table:
         found, counts = Grams(table.column("_t").combine_chunks(), order).asked()
-        ends = np.searchsorted(found, np.array([min(width * (k + 1), (1 << 64) - 1) for k in range(n)], np.uint64), side="left")
-        ends[-1] = len(found)
+        ends = np.searchsorted(found, (np.arange(1, n_parts + 1) * width).astype(np.uint64), side="left")
         starts = np.append(0, ends[:-1])
         some = np.flatnonzero(ends > starts)
         return pa.table({
@@ -133,9 +139,11 @@ QUERIES = {"op3_lm_score": op3_lm_score}
 ORACLE_SQL = {
     "op3_lm_score": r"""WITH w AS (SELECT r, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws
  FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
-t AS (SELECT r, ws[i] AS b, CASE WHEN i > 1 THEN ws[i - 1] END AS a FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
-u AS (SELECT b AS x, count(*) AS n FROM t GROUP BY 1), p AS (SELECT a, b, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2),
-s AS (SELECT t.r, sum(CASE WHEN p.n IS NOT NULL THEN ln(p.n / ua.n) ELSE ln(0.4) + ln(ub.n / (SELECT count(*) FROM t)) END) AS s
- FROM t JOIN u ub ON ub.x = t.b LEFT JOIN u ua ON ua.x = t.a LEFT JOIN p ON p.a = t.a AND p.b = t.b GROUP BY t.r)
+t AS (SELECT r, ws[i] AS c, CASE WHEN i > 1 THEN ws[i - 1] END AS b, CASE WHEN i > 2 THEN ws[i - 2] END AS a FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+one AS (SELECT c AS x, count(*) AS n FROM t GROUP BY 1), two AS (SELECT b, c, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY 1, 2),
+three AS (SELECT a, b, c, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY 1, 2, 3),
+s AS (SELECT t.r, sum(CASE WHEN abc.n >= 2 THEN ln(abc.n / ab.n) WHEN bc.n >= 2 THEN ln(0.4) + ln(bc.n / ub.n) ELSE 2 * ln(0.4) + ln(uc.n / (SELECT count(*) FROM t)) END) AS s
+ FROM t JOIN one uc ON uc.x = t.c LEFT JOIN one ub ON ub.x = t.b LEFT JOIN two bc ON bc.b = t.b AND bc.c = t.c LEFT JOIN two ab ON ab.b = t.a AND ab.c = t.b
+ LEFT JOIN three abc ON abc.a = t.a AND abc.b = t.b AND abc.c = t.c GROUP BY t.r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(s, 0), 4) AS log_score, round(CASE WHEN len(ws) > 0 THEN coalesce(s, 0) / len(ws) END, 4) AS mean_log_score FROM w LEFT JOIN s ON s.r = w.r"""
 }

@@ -22,13 +22,13 @@ def brute(rows, order, least):
     return sorted((k, len(ws), round(sum(word(ws, i) for i in range(len(ws))), 6)) for (k, _), ws in zip(rows, words, strict=True))
 
 
-@pytest.mark.parametrize(("order", "least", "batch"), [(2, 2, 4), (3, 1, 1000), (3, 2, 1), (1, 2, 7)])
-def test_scores_equal_brute_force(spark, order, least, batch):
-    rows = [(r.doc_id, r.text[:900]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()]
-    rows += [(900, None), (901, ""), (902, "the the The THE"), rows[0], (None, "of the")]
+@pytest.mark.parametrize(("order", "least", "batch", "part"), [(2, 2, 1 << 12, 1 << 14), (3, 1, 1 << 24, 1 << 13), (3, 2, 1 << 14, 1 << 12), (1, 2, 1 << 20, 1 << 24)])
+def test_scores_equal_brute_force(spark, order, least, batch, part):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 25").collect()]
+    rows += [(903, " ".join(f"w{k * k % 997}" for k in range(30_000))), (900, None), (901, ""), (902, "the the The THE"), rows[0], (None, "of the")]
     rows = [(k if k is not None else -1, t) for k, t in rows]
     df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, n_words int")
-    got = sorted((r.doc_id, r.n_words, round(r.log_score, 6)) for r in M.scores(df, order=order, least=least, batch=batch).collect())
+    got = sorted((r.doc_id, r.n_words, round(r.log_score, 6)) for r in M.scores(df, order=order, least=least, batch_bytes=batch, part_bytes=part).collect())
     for a, b in zip(got, brute(rows, order, least), strict=True):
         assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-5 * max(1, abs(b[2]))
 
