@@ -9,11 +9,13 @@ Where no bucket of a level holds two different things, all ranks are 0 and names
 by code (least and greatest content of a bucket) shows that. Only the content of buckets with more is ranked and joined.
 
 Defined cases: null counts as empty, and an empty text is one empty block; of equal texts the largest key stays (a null key
-only if there is no other); equal rows with the same key all stay with that key, since they have the same keep_id; other columns are not read.
+only if there is no other); of rows that repeat with that key and text, one stays; other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,19 +76,23 @@ def identities(df: DataFrame, key: str = "doc_id", text: str = "text", block: in
     else:
         items = rows.select("row", "_key", "sha", F.posexplode("what").alias("at", "what")).withColumn("code", code(F.col("what"), bits))
         level = ranked(items, ranks, ["row", "_key", "sha"])
-    level = durable(level.withColumn("levels", F.lit(0)))
-    while level.where(F.size("names") > 1).limit(1).count():
-        # A text that has its one name keeps it; the others are halved.
-        level = level.withColumn("pairs", F.when(F.size("names") > 1, pairs_of(F.col("names"))))
-        items = level.where("pairs is not null").select("row", F.posexplode("pairs").alias("at", "what")).withColumn("code", code(F.col("what"), bits))
+    level, n, done = durable(level), 0, []
+    while True:
+        done.append(level.where(F.size("names") == 1).withColumn("levels", F.lit(n)))
+        # Texts that have their one name are set aside; only the others are halved.
+        more = level.where(F.size("names") > 1)
+        if not more.limit(1).count():
+            break
+        more = more.withColumn("pairs", pairs_of(F.col("names")))
+        items = more.select("row", F.posexplode("pairs").alias("at", "what")).withColumn("code", code(F.col("what"), bits))
         ranks = crowded(items.select("code", "what"))
         if ranks is None:
-            level = level.withColumn("new", named(F.col("pairs"), bits))
+            more = more.withColumn("names", named(F.col("pairs"), bits))
         else:
-            level = level.join(ranked(items, ranks, ["row"]).withColumnRenamed("names", "new"), "row", "left")
-        deeper = F.when(F.col("new").isNotNull(), 1).otherwise(0)
-        level = durable(level.select("row", "_key", "sha", F.coalesce("new", "names").alias("names"), (F.col("levels") + deeper).alias("levels")))
-    return level.select("row", F.col("_key").alias(key), "levels", F.get("names", F.lit(0)).alias("name"), F.col("sha").alias("text_sha256"))
+            more = more.drop("names").join(ranked(items, ranks, ["row"]), "row")
+        level, n = durable(more.select("row", "_key", "sha", "names")), n + 1
+    found = functools.reduce(DataFrame.unionByName, done)
+    return found.select("row", F.col("_key").alias(key), "levels", F.get("names", F.lit(0)).alias("name"), F.col("sha").alias("text_sha256"))
 
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK, bits: int = 64) -> DataFrame:
@@ -126,6 +132,6 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op8_exact_dedup": op8_exact_dedup}
 ORACLE_SQL = {
-    "op8_exact_dedup": """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+    "op8_exact_dedup": """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 }
