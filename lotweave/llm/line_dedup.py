@@ -55,10 +55,13 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", site: str
     """df with its texts free of boilerplate lines, and the numbers of lines before (n_lines) and removed (n_removed)."""
     common = boilerplate(df, text, site, min_sites)
     gone = durable(removed_lines(df, common, key, text))
-    met = df.join(gone, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_hash")), "left")
-    kept = F.filter(lines_of(F.col(text)), lambda _, i: ~F.array_contains("_gone", i))
-    clean = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines_of(F.col(text))))
+    # The lines travel in place of the text, so that they are split once; what stays is found in one pass over hashed places.
+    each = df.select(*[c for c in df.columns if c != text], lines_of(F.col(text)).alias("_lines"), F.xxhash64(text).alias("_own"))
+    met = each.join(gone, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_hash")), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.transform(stay, lambda i: F.get("_lines", i)))
+    clean = F.array_join(kept, "\n")
+    n_lines = F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines"))
     added = {"n_lines": n_lines.cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
     return met.select(*[clean.alias(c) if c == text else F.col(c) for c in df.columns if c not in added], *[e.alias(c) for c, e in added.items()])
 
