@@ -27,7 +27,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, key:
 
 
 def spread_out(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """rows without most near copies: of texts that share the least hash of their 3-word runs, one stays, for two hashes."""
+    """rows without most near copies: of texts that share the least hash of their 3-word runs, one stays, for two hashes.
+
+    It is the one whose key has the least hash, so the same rows stay in every run.
+    """
 
     def work(keys: pa.Array, texts: pa.Array, labels: pa.Array):
         least = []
@@ -40,7 +43,10 @@ def spread_out(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
     kind = rows.schema[key].dataType.simpleString()
     out = map_texts(rows, key, "text", work, f"`{key}` {kind}, text string, label int, a bigint, b bigint", ("label",))
-    return out.dropDuplicates(["a"]).dropDuplicates(["b"]).drop("a", "b")
+    for c in ("a", "b"):
+        rest = [x for x in (key, "label", "a", "b", "text") if x != c]
+        out = out.groupBy(c).agg(F.min(F.struct(F.xxhash64(key).alias("_h"), *rest)).alias("_least")).select(c, *[F.col("_least")[x].alias(x) for x in rest])
+    return out.select(key, "text", "label")
 
 
 def pa_hash(s: str) -> bytes:

@@ -36,9 +36,6 @@ INVISIBLE = "­​‌‍⁠﻿"
 #: log-likelihood ratio against being spread over the labels at random must exceed what the best of so many terms has by chance.
 STEMS = (4, 5, 6, 7)
 LEAST_WEIGHT, BEYOND_CHANCE = 3.0, 4.0
-#: The most entries of a lexicon and the most exception phrases, the weightiest first.
-MOST_ENTRIES, MOST_EXCEPTIONS = 4096, 4096
-
 
 #: Texts whose terms a worker counts at once: each has many more terms than words.
 TERM_BYTES = 1 << 19
@@ -148,13 +145,8 @@ def distinct_entries(weights: dict[str, float]) -> dict[str, float]:
     return kept
 
 
-def learn(rows: DataFrame, key: str = "doc_id") -> Lexicon:
-    """A lexicon from (key, text, label) rows; see labels.labelled for the bound on their number."""
-    rows = durable(spread_out(rows, key))
-    totals = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    if not n1 or not n0:
-        return Lexicon({})
+def term_counts(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(term, a, b): in how many texts with label 1 and 0 each word and stem occurs."""
     table = Folding()
 
     def terms(keys: pa.Array, texts: pa.Array, labels: pa.Array):
@@ -166,15 +158,25 @@ def learn(rows: DataFrame, key: str = "doc_id") -> Lexicon:
         for y, c in counts.items():
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([y] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["term", "label", "n"])
 
-    found = map_texts(rows, key, "text", terms, "term string, label int, n bigint", ("label",), TERM_BYTES).groupBy("term").agg(F.sum(F.col("n") * F.col("label")).alias("a"), F.sum(F.col("n") * (1 - F.col("label"))).alias("b"))
+    found = map_texts(rows, key, "text", terms, "term string, label int, n bigint", ("label",), TERM_BYTES)
+    return found.groupBy("term").agg(F.sum(F.col("n") * F.col("label")).alias("a"), F.sum(F.col("n") * (1 - F.col("label"))).alias("b"))
+
+
+def learn(rows: DataFrame, key: str = "doc_id") -> Lexicon:
+    """A lexicon from (key, text, label) rows; see labels.labelled for the bound on their number, which bounds its entries."""
+    rows = durable(spread_out(rows, key))
+    totals = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    n1, n0 = totals.get(1, 0), totals.get(0, 0)
+    if not n1 or not n0:
+        return Lexicon({})
+    found = term_counts(rows, key)
     weight = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
     share = n1 / (n1 + n0)
     part = lambda x, p: F.when(x > 0, x * F.log(x / ((F.col("a") + F.col("b")) * p))).otherwise(0.0)
     ratio = 2 * (part(F.col("a"), share) + part(F.col("b"), 1 - share))
     tested = durable(found.where("a > 1").select("term", weight.alias("w"), ratio.alias("ratio")))
     least = 2 * np.log(max(tested.count(), 1)) + BEYOND_CHANCE
-    best = tested.where((F.col("w") >= LEAST_WEIGHT) & (F.col("ratio") >= float(least))).orderBy(F.desc("ratio"), "term").limit(MOST_ENTRIES).collect()
-    weights = {r.term: r.w for r in best}
+    best = tested.where((F.col("w") >= LEAST_WEIGHT) & (F.col("ratio") >= float(least))).collect()
     entries = distinct_entries({r.term: r.w for r in best})
     plain = Lexicon(entries)
 
@@ -194,15 +196,16 @@ def learn(rows: DataFrame, key: str = "doc_id") -> Lexicon:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in counts], pa.string()), pa.array([y for _, y in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["term", "label", "n"])
 
     met = map_texts(rows, key, "text", phrases, "term string, label int, n bigint", ("label",)).groupBy("term").agg(F.sum(F.col("n") * F.col("label")).alias("a"), F.sum(F.col("n") * (1 - F.col("label"))).alias("b"))
-    spared = met.where((F.col("b") >= 3) & (F.col("b") / n0 >= 3 * (F.col("a") + 0.5) / n1)).orderBy(F.desc("b"), "term").limit(MOST_EXCEPTIONS).collect()
-    lexicon = Lexicon(entries, [r.term for r in spared])
+    spared = met.where((F.col("b") >= 3) & (F.col("b") / n0 >= 3 * (F.col("a") + 0.5) / n1)).collect()
+    lexicon = Lexicon(entries, sorted(r.term for r in spared))
 
     def densities(keys: pa.Array, texts: pa.Array, labels: pa.Array):
         yield pa.RecordBatch.from_arrays([labels, pa.array([lexicon.density(t)[0] for t in texts.to_pylist()], pa.float64())], names=["label", "density"])
 
     # As many numbers as there are labelled rows, which are bounded.
-    points = map_texts(rows, key, "text", densities, "label int, density double", ("label",)).orderBy("density", "label").collect()
-    lexicon.slope, lexicon.intercept = fit_line(np.log1p(np.array([r.density for r in points])), np.array([r.label for r in points], float))
+    points = map_texts(rows, key, "text", densities, "label int, density double", ("label",)).collect()
+    density, label = np.array(sorted((r.density, r.label) for r in points)).T  # in an order that doesn't depend on the tasks
+    lexicon.slope, lexicon.intercept = fit_line(np.log1p(density), label)
     return lexicon
 
 

@@ -1,3 +1,5 @@
+import math
+import random
 import zlib
 
 from lotweave.llm import toxicity as T
@@ -33,28 +35,62 @@ def test_entries_without_redundant_ones():
     assert T.distinct_entries({"lose*": 3.8, "loser*": 8.9, "losers": 8.9, "vequ*": 8.0, "vequa*": 8.1}) == {"loser*": 8.9, "vequ*": 8.0}
 
 
-def test_learns_exceptions_and_odd_rows(spark):
-    import random
-
+def corpus(n=400):
+    """Texts with zorgon are toxic, but for those with zorgon parade; two rows repeat with id and text."""
     rng = random.Random(4)
     plain = ["alder", "birch", "cedar", "doral", "ember", "fjord", "grove", "heath"]
     rows, labels = [], []
-    for k in range(160):
-        words = [rng.choice(plain) + str(rng.choice("xyzuvw")) for _ in range(30)]
+    for k in range(n):
+        words = [rng.choice(plain) + "".join(rng.choice("xyzuvw") for _ in range(3)) for _ in range(30)]
         if k % 3 == 0:
-            words[rng.randrange(30)] = "zorgon"
-        elif k % 3 == 1:
+            words[rng.randrange(30)] = rng.choice(["zorgon", "Z0RG0N", "zοrgοn"])
+        elif k % 36 == 1:
             words[5:7] = ["zorgon", "parade"]
         rows.append((k, " ".join(words)))
         labels.append((k, 1, int(k % 3 == 0)))
+    return rows, labels
+
+
+def test_terms_equal_brute_force(spark):
+    rows, labels = corpus(60)
+    toxic = {k: t for k, _, t in labels}
+    df = spark.createDataFrame([(k, t, toxic[k]) for k, t in rows], "doc_id long, text string, label int")
+    want = {}
+    for k, t in rows:
+        words = {"".join({"0": "o", "ο": "o", "l": "i"}.get(c, c) for c in w.lower()) for w in t.split()}
+        for e in words | {w[:n] + "*" for w in words for n in T.STEMS if len(w) >= n}:
+            a, b = want.get(e, (0, 0))
+            want[e] = (a + toxic[k], b + 1 - toxic[k])
+    assert {r.term: (r.a, r.b) for r in T.term_counts(df).collect()} == want
+
+
+def test_learns_the_lexicon_that_counts_call_for(spark):
+    rows, labels = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labs = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    train = lambda d: T.labelled(d, labs, "toxic", T.remainder("doc_id", 4) != 9)
+    lex = T.learn(train(docs))
+    # No text is a near copy, so all count: the one stem with zorgon's odds, and the one phrase that clean texts have.
+    toxic = sum(t for _, _, t in labels)
+    spared = sum("zorgon parade" in t for _, t in rows)
+    weight = math.log((toxic + 0.5) / (toxic + 1)) - math.log((spared + 0.5) / (len(rows) - toxic + 1))
+    assert [(e.rstrip("*") in "zorgon", round(w, 6)) for e, w in lex.entries.items()] == [(True, round(weight, 6))]
+    assert "zorgon parade" in lex.exceptions and all("zorgon" in e for e in lex.exceptions)
+    again = T.learn(train(docs.repartition(5)))
+    assert (again.entries, again.exceptions, again.slope, again.intercept) == (lex.entries, lex.exceptions, lex.slope, lex.intercept)
+    got = {r.doc_id: r.score for r in T.score(docs, lex).collect()}
+    assert all((got[k] > 0.5) == bool(t) for k, _, t in labels)
+
+
+def test_odd_rows(spark):
+    rows, labels = corpus(60)
     rows += [(900, None), (901, ""), (902, "zorgon " * 50000), (3, rows[3][1])]
     docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, label string")
     labs = spark.createDataFrame([*labels, (900, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     lex = T.Lexicon({"zorgon": 5.0}, ["zorgon parade"], 2.0, -8.0)
     got = {r.doc_id: r for r in T.score(docs, lex).collect()}
     assert got[1].n_matches == 0 and got[0].n_matches == 1 and got[902].score > 0.9 and got[900].n_matches == 0
-    learned = T.learn(T.labelled(docs, labs, "toxic", T.remainder("doc_id", 4) != 9))
-    assert isinstance(learned, T.Lexicon)
+    assert set(T.learn(T.labelled(docs, labs, "toxic", T.remainder("doc_id", 4) != 9)).entries) <= {"zorg*", "zorgo*", "zorgon*", "zorgon"}
     assert T.learn(T.labelled(docs, labs.limit(0), "toxic", T.remainder("doc_id", 4) != 9)).entries == {}
     assert T.score(docs.limit(0), lex).count() == 0
 
