@@ -114,27 +114,39 @@ def audit(ledger: DataFrame, drawn: DataFrame, parcels: DataFrame, dong: str = "
     district for one of its units or for others, an apartment's lot (left out), drawn elsewhere, its main number drawn, a parcel
     that nobody drew, or no parcel.
     """
-    said = ledger.select(dong, *KEY, "tong").distinct()
-    here = drawn.select(dong, *KEY, "tong").distinct()
-    lot = ledger.groupBy(dong, *KEY).agg(F.min(F.col("apt")).alias("_only_apt"))
-    hit = said.join(here, [dong, *KEY, "tong"]).select(dong, *KEY).distinct().withColumn("_hit", F.lit(1))
-    some = here.select(dong, *KEY).distinct().withColumn("_here", F.lit(1))
-    anywhere = drawn.select(*KEY).distinct().withColumn("_any", F.lit(1))
-    main = drawn.select("legal", lots.main_number(F.col("lot")).alias("_bon")).distinct().withColumn("_main", F.lit(1))
-    known = parcels.select(*KEY).distinct().withColumn("_lot", F.lit(1))
-    known_main = parcels.select("legal", lots.main_number(F.col("lot")).alias("_bon")).distinct().withColumn("_lot_main", F.lit(1))
-    out = lot.withColumn("_bon", lots.main_number(F.col("lot"))).join(hit, [dong, *KEY], "left").join(some, [dong, *KEY], "left").join(anywhere, KEY, "left")
-    out = out.join(main, ["legal", "_bon"], "left").join(known, KEY, "left").join(known_main, ["legal", "_bon"], "left")
+    said = ledger.select(dong, *KEY, "tong", F.col("apt").alias("_apt"), F.lit(False).alias("_drawn"))
+    both = said.unionByName(drawn.select(dong, *KEY, "tong", F.lit(None).cast("boolean").alias("_apt"), F.lit(True).alias("_drawn")))
+    flag = lambda c: F.when(F.max(c), 1)
+    unit = both.groupBy(dong, *KEY, "tong").agg(F.min("_apt").alias("_apt"), F.max("_drawn").alias("_drawn"))
+    out = unit.groupBy(dong, *KEY).agg(F.min("_apt").alias("_only_apt"), flag(F.col("_drawn") & F.col("_apt").isNotNull()).alias("_hit"), flag("_drawn").alias("_here")).where("_only_apt is not null")
+    # What is known of a lot, and of its main number, wherever it lies.
+    on_map = drawn.select(*KEY, F.lit(True).alias("_d")).unionByName(parcels.select(*KEY, F.lit(False).alias("_d")))
+    known = on_map.groupBy(*KEY).agg(flag("_d").alias("_any"), flag(~F.col("_d")).alias("_lot"))
+    main = known.groupBy("legal", lots.main_number(F.col("lot")).alias("_bon")).agg(F.max("_any").alias("_main"), F.max("_lot").alias("_lot_main"))
+    out = out.withColumn("_bon", lots.main_number(F.col("lot"))).join(known, KEY, "left").join(main, ["legal", "_bon"], "left")
     is_ = lambda c: F.col(c).isNotNull()
     status = F.when(is_("_hit"), AUDIT[0]).when(is_("_here"), AUDIT[1]).when(F.col("_only_apt"), None).when(is_("_any"), AUDIT[2]).when(is_("_main"), AUDIT[3])
     status = F.when(is_("_hit") | is_("_here") | F.col("_only_apt") | is_("_any") | is_("_main"), status).when(is_("_lot") | is_("_lot_main"), AUDIT[4]).otherwise(AUDIT[5])
     return out.select(dong, *KEY, status.alias("status")).where("status is not null")
 
 
+def top_lots(rows: DataFrame, key: list[str], most: int, name: str) -> DataFrame:
+    """(key, name): the first `most` lots of each key, in order; no more than these are gathered."""
+    n = F.row_number().over(Window.partitionBy(*key).orderBy("lot"))
+    return rows.select(*key, "lot").withColumn("_n", n).where(F.col("_n") <= most).groupBy(*key).agg(F.array_sort(F.collect_list("lot")).alias(name))
+
+
+def suspects_by_district(found: DataFrame) -> DataFrame:
+    """(legal, n_bons, n_lots): how many main numbers of a district, and lots of them, anomalies() suspects."""
+    return found.groupBy("legal").agg(F.count("*").alias("n_bons"), F.sum("n").alias("n_lots"))
+
+
 def anomalies(ledger: DataFrame, assigned: DataFrame) -> DataFrame:
     """(legal, bon, n, sample, tongs, bare): main numbers with unassigned sub lots though they are assigned or listed bare."""
     bon = lots.main_number(F.col("lot")).alias("bon")
-    free = assigned.where("tong is null").groupBy("legal", bon).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("lot")), 1, 4).alias("sample"))
+    free = assigned.where("tong is null").select("legal", bon, "lot")
+    first = top_lots(free, ["legal", "bon"], 4, "sample")
+    free = free.groupBy("legal", "bon").agg(F.count("*").alias("n")).join(first, ["legal", "bon"])
     taken = assigned.where("tong is not null").groupBy("legal", bon).agg(F.array_sort(F.collect_set("tong")).alias("tongs"))
     bare = ledger.where(~F.col("apt") & ~F.col("lot").contains("-")).groupBy("legal", F.col("lot").alias("bon")).agg(F.array_sort(F.collect_set("tong")).alias("bare"))
     none = F.array().cast("array<int>")

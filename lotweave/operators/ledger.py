@@ -60,15 +60,14 @@ def expand_ledger(ledger: DataFrame, districts: list[str] | Column, row: str = "
     bare = ~F.col("_mr") & ~F.col("_m") & ~F.col("_core").contains("-") & (F.col("_bon") != "")
     more = F.when(bare, F.transform("_lots", lambda x: F.concat(F.col("_bon"), F.lit("-"), x))).otherwise(F.array().cast("array<string>"))
     words = words.withColumn("_all", F.when(F.col("_lots").isNotNull(), F.concat("_lots", F.coalesce(more, F.array().cast("array<string>")))))
-    whole = Window.partitionBy(row, "seg")
-    words = words.withColumn("_got", F.count("_all").over(whole))
-    key = [row, "seg", "at"]
-    listed = words.where("_all is not null").select(*key, F.posexplode("_all").alias("n", "lot"), "legal", "apt").withColumn("kind", F.lit("lot"))
-    failed = words.where("word is not null and _all is null").select(*key, F.lit(0).alias("n"), F.col("word").alias("lot"), "legal", "apt").withColumn("kind", F.lit("failed"))
-    lost = words.where("legal is null").select(*key, F.lit(0).alias("n"), F.col("body").alias("lot"), F.lit("").alias("legal"), "apt").withColumn("kind", F.lit("failed"))
-    named = words.where("legal is not null and _got = 0 and body <> ''").groupBy(row, "seg").agg(F.min("at").alias("at"), F.lit(0).alias("n"), F.first("body").alias("lot"), F.first("legal").alias("legal"), F.first("apt").alias("apt"))
-    named = named.withColumn("kind", F.lit("apartment"))
-    return listed.unionByName(failed).unionByName(lost).unionByName(named)
+    words = words.withColumn("_got", F.count("_all").over(Window.partitionBy(row, "seg")))
+    # All that a word says, in one array, so that the words are read once.
+    entry = lambda kind, n, lot, legal="legal": F.struct(n.cast("int").alias("n"), F.lit(kind).alias("kind"), F.col(legal).alias("legal") if legal else F.lit("").alias("legal"), lot.alias("lot"))
+    zero = F.lit(0)
+    own = F.when(F.col("legal").isNull(), F.array(entry("failed", zero, F.col("body"), None))).when(F.col("_all").isNotNull(), F.transform("_all", lambda x, i: entry("lot", i, x))).when(w.isNotNull(), F.array(entry("failed", zero, w)))
+    named = F.col("legal").isNotNull() & (F.col("_got") == 0) & (F.col("body") != "") & (F.coalesce("at", zero) == 0)
+    said = F.concat(F.coalesce(own, F.array()), F.coalesce(F.when(named, F.array(entry("apartment", zero, F.col("body")))), F.array()))
+    return words.select(row, "seg", "at", "apt", F.inline(said)).select(row, "seg", "at", "n", "kind", "legal", "lot", "apt")
 
 
 def group_paragraphs(paragraphs: DataFrame, group: str, order: str, text: str) -> DataFrame:

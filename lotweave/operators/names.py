@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotweave.functions import lots
+from lotweave.operators.assign import top_lots
 
 # Tokens that end a complex's name; names that aren't homes; where a building's note ends.
 LOT_LIKE = r"^(산?\d[\d\-～~ㆍ·,]*(외)?|\d+필지|외)$"
@@ -159,7 +160,8 @@ def review_rows(missing: DataFrame, fragments: DataFrame, omissions: DataFrame)
     none = lambda t: F.lit(None).cast(t)
     a = missing.select(F.lit("미표시").alias("kind"), "dong", "tong", none("bigint").alias("n"), none("bigint").alias("d"), F.col("reason").alias("detail"))
     b = fragments.select(F.concat(F.lit("분리/"), lots.grade(F.col("n"))).alias("kind"), "dong", "tong", "n", F.bround("d").cast("bigint").alias("d"), F.array_join(F.slice("lots", 1, 15), " / ").alias("detail"))
-    c = omissions.groupBy("dong", "tong").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("lot")), 1, 15), " / ").alias("detail"))
+    key = ["dong", "tong"]
+    c = omissions.groupBy(*key).agg(F.count("*").alias("n")).join(top_lots(omissions, key, 15, "lots"), key).withColumn("detail", F.array_join("lots", " / "))
     c = c.select(F.lit("누락").alias("kind"), "dong", "tong", "n", none("bigint").alias("d"), "detail")
     return a.unionByName(b).unionByName(c)
 

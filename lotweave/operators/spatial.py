@@ -50,18 +50,27 @@ def first_box(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """Pairs (id, box) of points inside polygons (box, minx, miny, maxx, maxy, geom as WKB)."""
+    """Pairs (id, box) of points inside polygons (box, minx, miny, maxx, maxy, geom as WKB).
+
+    Points are tested by polygon, as many at once as a batch has of it.
+    """
     found = points_in_boxes(points, polygons.drop("geom"), size).join(points, "id").join(polygons.select("box", "geom"), "box")
 
     def run(batches):
         for b in batches:
-            good = []
-            for x, y, g in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                good.append(any(shapes.contains(p, np.array([[x, y]]))[0] for p in shapes.from_wkb(g)))
-            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["id", "box"]).filter(pa.array(good, pa.bool_()))
+            if not len(b):
+                continue
+            at = np.stack([np.asarray(b.column(2)), np.asarray(b.column(3))], 1)
+            of = np.asarray(b.column(1).dictionary_encode().indices)
+            order = np.argsort(of, kind="stable")
+            good = np.zeros(len(b), bool)
+            for rows in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+                for p in shapes.from_wkb(b.column(4)[int(rows[0])].as_py()):
+                    good[rows] |= shapes.contains(p, at[rows])
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["id", "box"]).filter(pa.array(good))
 
     kind = dict(found.dtypes)
-    return found.select("id", "box", "x", "y", "geom").mapInArrow(run, f"id {kind['id']}, box {kind['box']}")
+    return found.select("id", "box", F.col("x").cast("double"), F.col("y").cast("double"), "geom").mapInArrow(run, f"id {kind['id']}, box {kind['box']}")
 
 
 def nearest(points: DataFrame, sites: DataFrame, start: float, by: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lotweave.functions import lots
 from lotweave.operators import assign as A
 from lotweave.operators import ledger as L
+from lotweave.operators.tables import written
 from lotweave.plans.proxy import ORDER, frame, read, sql
 
 QUERIES: dict = {}
@@ -104,14 +105,17 @@ SELECT tong, CASE WHEN tong IN (SELECT tong FROM apt) THEN '아파트' ELSE '일
  CASE WHEN on_map THEN '지번은 지적도에 있으나 충돌(min_tong)로 다른 통에 흡수' WHEN tong IN (SELECT tong FROM apt) THEN '표에 지번 없음/지적도에 없음(아파트 단지명 등)' ELSE '지적도에 해당 지번 없음' END AS reason FROM u""")
 def missing_units(spark, sf):
     small = F.expr(f"CAST({_SMALL} AS INT)")
+    a = written(assigned(spark, sf).select("legal", "lot", "tong", "ban"))  # read several times below
     led = ledger(spark, sf).withColumn("tong", small)
-    return A.missing_units(led, assigned(spark, sf).withColumn("tong", small), led.where("apt and ban = 7"))
+    return A.missing_units(led, a.withColumn("tong", small), led.where("apt and ban = 7"))
 
 
 @query("spec_expand", None)
 def spec_expand(spark, sf):
     s = frame(spark, sf, "spec")
-    return s.select(*ORDER, "core", F.concat_ws(",", lots.expand_spec(F.col("core"), F.col("mountain"))).alias("lots"), F.size(F.coalesce(lots.expand_spec(F.col("core"), F.col("mountain")), F.array().cast("array<string>"))).alias("n_lots"))
+    found = F.coalesce(lots.expand_spec(F.col("core"), F.col("mountain")), F.array().cast("array<string>"))
+    once = F.get(F.transform(F.array(found), lambda l: F.struct(F.concat_ws(",", l).alias("lots"), F.size(l).alias("n_lots"))), F.lit(0))
+    return s.select(*ORDER, "core", once.alias("f")).select(*ORDER, "core", "f.*")
 
 
 def _range(prefix: str, low: str, high: str) -> str:
@@ -185,9 +189,41 @@ _SAID = """CASE WHEN l_linenumber = 1 THEN CASE CAST(l_suppkey % 5 AS INT) WHEN
  || CASE WHEN mountain THEN '산' ELSE '' END || core || CASE CAST(l_quantity AS INT) % 6 WHEN 0 THEN '(부번지 포함)' WHEN 1 THEN '(푸른빌라 101호, 102호)' WHEN 2 THEN '번지' WHEN 3 THEN ' 하늘마을 501~903' WHEN 4 THEN ' 77' ELSE '' END"""
 
 
-@query("ledger_expand")
+#: Ledger rows in SQL, and their normal form.
+_AREAS = f"(SELECT l_partkey AS row_no, string_agg({_SAID}, ', ' ORDER BY {', '.join(ORDER)}) AS area FROM {sql('spec')} GROUP BY 1)"
+_NORMAL = r"regexp_replace(regexp_replace(translate(area, '～〜∼·，　', '~~~ㆍ, '), '\s*~\s*', '~', 'g'), '\s*ㆍ\s*', 'ㆍ', 'g')"
+
+
+def _expanded(core: str, mountain: str) -> str:
+    """Lots of a spec with dots in DuckDB, null if a part can't be read or is too long."""
+    parts = f"list_filter(string_split({core}, 'ㆍ'), lambda x: x <> '')"
+    full = f"list_transform({parts}, lambda x: CASE WHEN strpos({core}, 'ㆍ') > 0 AND strpos({parts}[1], '-') > 0 AND strpos(x, '-') = 0 THEN split_part({parts}[1], '-', 1) || '-' || x ELSE x END)"
+    each = f"list_transform({full}, lambda p: {_part('p')})"
+    prefix = f"CASE WHEN {mountain} THEN '산' ELSE '' END"
+    return f"CASE WHEN len(list_filter({each}, lambda l: l IS NULL OR len(l) > 2000)) = 0 THEN list_transform(flatten({each}), lambda x: {prefix} || x) END"
+
+
+ORACLE["ledger_expand"] = rf"""WITH a AS (SELECT row_no, regexp_replace(regexp_replace({_NORMAL}, '\(\s*부번지?\s*포함\s*\)', ' ', 'g'), '\([^)]*\)', ' Ⓐ ', 'g') AS area FROM {_AREAS}),
+b AS (SELECT row_no, unnest(string_split(area, ',')) AS s, generate_subscripts(string_split(area, ','), 1) - 1 AS seg FROM a),
+c AS (SELECT row_no, seg, trim(s) AS s, regexp_extract(trim(s), '^([가-힣]{{1,4}}[동리])\s*(.*)$', 1) AS d, regexp_extract(trim(s), '^([가-힣]{{1,4}}[동리])\s*(.*)$', 2) AS rest FROM b WHERE trim(s) <> ''),
+k AS (SELECT *, CASE WHEN d IN ({", ".join(f"'{x}'" for x in _DISTRICTS)}) THEN d END AS new FROM c),
+g AS (SELECT row_no, seg, last_value(new IGNORE NULLS) OVER w AS legal, count(new) OVER w AS part, regexp_matches(s, '{L.APARTMENT}') AS apt, CASE WHEN new IS NULL THEN s ELSE trim(rest) END AS body FROM k WINDOW w AS (PARTITION BY row_no ORDER BY seg ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT *, unnest(string_split_regex(body, '\s+')) AS raw, generate_subscripts(string_split_regex(body, '\s+'), 1) AS j FROM g WHERE legal IS NOT NULL),
+v AS (SELECT *, regexp_replace(trim(split_part(raw, '(', 1), ',.'), '번지$', '') AS word FROM r),
+x AS (SELECT *, sum(CASE WHEN regexp_matches(word, '[가-힣]') AND NOT regexp_matches(word, '^산?[0-9][0-9~ㆍ산-]*$') THEN 1 ELSE 0 END) OVER (PARTITION BY row_no, seg ORDER BY j ROWS UNBOUNDED PRECEDING) AS over FROM v WHERE word <> ''),
+y AS (SELECT *, row_number() OVER (PARTITION BY row_no, seg ORDER BY j) - 1 AS "at", word LIKE '산%' AS m, trim(CASE WHEN word LIKE '산%' THEN substr(word, 2) ELSE word END, '-~ㆍ') AS core FROM x WHERE over = 0 AND regexp_matches(word, '^산?[0-9][0-9~ㆍ-]*$')),
+z AS (SELECT *, {_expanded("core", "m")} AS l FROM y),
+t AS (SELECT *, CASE WHEN len(l) > 0 THEN l END AS found, CASE WHEN l IS NULL OR len(l) = 0 THEN NULL WHEN m THEN '' WHEN strpos(core, '-') > 0 THEN coalesce(CAST(try_cast(split_part(core, '-', 1) AS BIGINT) AS VARCHAR), '') END AS leaves FROM z),
+u AS (SELECT *, last_value(leaves IGNORE NULLS) OVER (PARTITION BY row_no, part ORDER BY seg, "at" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bon FROM t),
+f AS (SELECT *, CASE WHEN found IS NOT NULL THEN list_concat(found, CASE WHEN NOT m AND strpos(core, '-') = 0 AND bon <> '' THEN list_transform(found, lambda q: bon || '-' || q) ELSE [] END) END AS every FROM u),
+o AS (SELECT row_no, seg, "at", generate_subscripts(every, 1) - 1 AS n, 'lot' AS kind, legal, unnest(every) AS lot, apt FROM f WHERE every IS NOT NULL
+ UNION ALL SELECT row_no, seg, "at", 0, 'failed', legal, word, apt FROM f WHERE every IS NULL UNION ALL SELECT row_no, seg, NULL, 0, 'failed', '', body, apt FROM g WHERE legal IS NULL
+ UNION ALL SELECT g.row_no, g.seg, CASE WHEN h.n_words > 0 THEN 0 END, 0, 'apartment', legal, body, apt FROM g LEFT JOIN (SELECT row_no, seg, count(*) AS n_words, count(every) AS n_read FROM f GROUP BY 1, 2) h ON h.row_no = g.row_no AND h.seg = g.seg WHERE legal IS NOT NULL AND body <> '' AND coalesce(h.n_read, 0) = 0)
+SELECT row_no, CAST(seg AS INT) AS seg, CAST("at" AS INT) AS "at", CAST(n AS INT) AS n, kind, legal, lot, apt FROM o"""
+
+
+@query("ledger_expand", ORACLE["ledger_expand"])
 def ledger_expand(spark, sf):
-    """Checked in tests against a plain state machine."""
     said = frame(spark, sf, "spec").selectExpr(*ORDER, f"{_SAID} AS w", "l_partkey AS row_no")
     rows = said.groupBy("row_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, "w"))), lambda x: x["w"]), ", ").alias("area"))
     return L.expand_ledger(rows, _DISTRICTS).select("row_no", "seg", "at", "n", "kind", "legal", "lot", "apt")
@@ -254,7 +290,7 @@ def audit_status(spark, sf):
     """The map that is audited lacks all parcels of one ban and has a fourth in a neighbouring unit, so that all outcomes occur."""
     led = ledger(spark, sf).withColumn("dong", F.col("tong") % 3)
     drawn = assigned(spark, sf).where("tong is not null and ban <> 2").withColumn("dong", F.col("tong") % 3).withColumn("tong", F.when(F.col("id") % 4 == 0, F.col("tong") + 1).otherwise(F.col("tong")))
-    return A.audit(led, drawn, parcels(spark, sf))
+    return A.audit(led, written(drawn.select("dong", "legal", "lot", "tong")), parcels(spark, sf))
 
 
 @query("anomaly_scan", f"""WITH a AS MATERIALIZED {ASSIGNED}, free AS (SELECT legal, split_part(lot, '-', 1) AS bon, count(*) AS n, list_sort(list(lot))[:4] AS sample FROM a WHERE tong IS NULL GROUP BY 1, 2),
@@ -263,12 +299,17 @@ SELECT free.legal, free.bon, n, array_to_string(sample, ',') AS sample, coalesce
  FROM free LEFT JOIN taken ON taken.legal = free.legal AND taken.bon = free.bon LEFT JOIN bare ON bare.legal = free.legal AND bare.bon = free.bon WHERE tongs IS NOT NULL OR bare IS NOT NULL""")
 def anomaly_scan(spark, sf):
     text = lambda c: F.concat_ws(",", F.col(c).cast("array<string>")).alias(c)
-    return A.anomalies(ledger(spark, sf), assigned(spark, sf)).select("legal", "bon", "n", text("sample"), text("tongs"), text("bare"))
+    return A.anomalies(ledger(spark, sf), written(assigned(spark, sf).select("legal", "lot", "tong"))).select("legal", "bon", "n", text("sample"), text("tongs"), text("bare"))
 
 
-@query("territory_pairs")
+@query("territory_pairs", rf"""WITH b AS (SELECT row_no, unnest(string_split(area, ',')) AS s, generate_subscripts(string_split(area, ','), 1) AS seg FROM (SELECT row_no, regexp_replace({_NORMAL}, '\([^)]*\)', '', 'g') AS area FROM {_AREAS})),
+c AS (SELECT row_no, seg, trim(s) AS s, regexp_matches(trim(s), '^[가-힣]{{2,4}}[동리]\s+.+$') AS named FROM b WHERE trim(s) <> ''),
+d AS (SELECT row_no, seg, last_value(CASE WHEN named THEN regexp_extract(s, '^([가-힣]{{2,4}}[동리])\s+(.+)$', 1) END IGNORE NULLS) OVER (PARTITION BY row_no ORDER BY seg ROWS UNBOUNDED PRECEDING) AS legal, trim(CASE WHEN named THEN regexp_extract(s, '^([가-힣]{{2,4}}[동리])\s+(.+)$', 2) ELSE s END, ' ,') AS spec FROM c),
+e AS (SELECT row_no, seg, legal, spec LIKE '산%' AS m, trim(CASE WHEN spec LIKE '산%' THEN substr(spec, 2) ELSE spec END) AS core FROM d WHERE legal IS NOT NULL),
+f AS (SELECT row_no, seg, legal, CASE WHEN core = '' THEN [] ELSE {_expanded("core", "m")} END AS l FROM e),
+g AS (SELECT row_no, seg, generate_subscripts(l, 1) AS i, legal, unnest(l) AS lot FROM f WHERE len(l) > 0)
+SELECT row_no, CAST(row_number() OVER (PARTITION BY row_no ORDER BY seg, i) - 1 AS INT) AS at, legal, lot FROM g""")
 def territory_pairs(spark, sf):
-    """Checked in tests against plain Python."""
     said = frame(spark, sf, "spec").selectExpr(*ORDER, f"{_SAID} AS w", "l_partkey AS row_no")
     rows = said.groupBy("row_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, "w"))), lambda x: x["w"]), ", ").alias("area"))
     return rows.select("row_no", F.posexplode(lots.territory_pairs(F.col("area"))).alias("at", "p")).select("row_no", "at", "p.*")
@@ -282,3 +323,8 @@ def spec_readings(spark, sf):
     """How many lots two earlier readings find in specs without middle dots."""
     s = frame(spark, sf, "spec").where(~F.col("core").contains(lots.DOT))
     return s.select(*ORDER, "core", *[F.size(lots.expand_spec(F.col("core"), F.lit(False), m)).alias(f"n_{m}") for m in ("older", "oldest")])
+
+
+@query("suspects_by_district", f"SELECT legal, count(*) AS n_bons, CAST(sum(n) AS BIGINT) AS n_lots FROM ({ORACLE['anomaly_scan']}) GROUP BY 1")
+def suspects_by_district(spark, sf):
+    return A.suspects_by_district(A.anomalies(ledger(spark, sf), written(assigned(spark, sf).select("legal", "lot", "tong"))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotweave.functions import lots
 from lotweave.operators import names as N
+from lotweave.operators.assign import top_lots
 from lotweave.plans.lot_queries import ASSIGNED, LEDGER, PARCEL, assigned, ledger, parcels
 from lotweave.plans.proxy import ORDER, read
 
@@ -236,5 +237,7 @@ b AS (SELECT '분리/' || CASE WHEN n <= 10 THEN '지번오류의심' WHEN n <=
 c AS (SELECT '누락' AS kind, tong % 3 AS dong, tong, count(*) AS n, NULL::BIGINT AS d, array_to_string(list_sort(list(lot))[:15], ' / ') AS detail FROM l GROUP BY 2, 3) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
 def review_report(spark, sf):
     l = ledger(spark, sf).withColumn("dong", F.col("tong") % 3)
-    fragments = l.where("apt").groupBy("dong", "tong", "legal").agg((F.count("*") * 3).alias("n"), F.sum("ban").alias("d"), F.array_sort(F.collect_set("lot")).alias("lots"))
+    fragments = l.where("apt").groupBy("dong", "tong", "legal").agg((F.count("*") * 3).alias("n"), F.sum("ban").alias("d"))
+    key = ["dong", "tong", "legal"]
+    fragments = fragments.join(top_lots(l.where("apt").select(*key, "lot").distinct(), key, 15, "lots"), key)
     return N.review_rows(l.select("dong", "tong").distinct().withColumn("reason", F.lit("r")), fragments, l.select("dong", "tong", "lot"))

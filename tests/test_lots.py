@@ -1,6 +1,3 @@
-import random
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,76 +69,33 @@ def test_bigram(spark, a, b, want):
     assert abs(spark.createDataFrame([(a, b)], "a string, b string").select(lots.bigram_similarity(F.col("a"), F.col("b"))).first()[0] - want) < 1e-12
 
 
-def simple(spec, mountain):
-    """Lots of a spec, in plain Python, for what the tests write."""
-    if spec in TABLE:
-        found = TABLE[spec]
-    else:
-        m = re.fullmatch(r"(\d+)-(\d+)", spec) or re.fullmatch(r"(\d+)", spec)
-        found = [spec] if m else None
-    return found and [("산" if mountain else "") + x for x in found]
-
-
-def machine(area, districts):
-    """A ledger row read word by word: (kind, legal, lot, apt) in any order."""
-    area = re.sub(r"\s*ㆍ\s*", "ㆍ", re.sub(r"\s*~\s*", "~", area.replace("～", "~")))
-    area = re.sub(r"\([^)]*\)", " Ⓐ ", re.sub(r"\(\s*부번지?\s*포함\s*\)", " ", area))
-    out, legal, bon = [], None, None
-    for seg in filter(None, (s.strip() for s in area.split(","))):
-        apt = bool(re.search(L.APARTMENT, seg))
-        m = re.match(r"([가-힣]{1,4}[동리])\s*(.*)", seg)
-        body = seg
-        if m and m[1] in districts:
-            legal, body, bon = m[1], m[2].strip(), None
-        if legal is None:
-            out.append(("failed", "", seg, apt))
-            continue
-        got = False
-        for w in body.split():
-            w = re.sub("번지$", "", w.split("(")[0].strip(",."))
-            if not w:
-                continue
-            if re.search("[가-힣]", w) and not re.fullmatch(r"산?\d[\d~\-ㆍ산]*", w):
-                break
-            if not re.fullmatch(r"산?\d[\d~\-ㆍ]*", w):
-                continue
-            mountain, core = w[0] == "산", w.lstrip("산").strip("-~ㆍ")
-            found = simple(core, mountain)
-            if not found:
-                out.append(("failed", legal, w, apt))
-                continue
-            got = True
-            out += [("lot", legal, x, apt) for x in found]
-            if mountain:
-                bon = None
-            elif "-" in core:
-                bon = core.split("-")[0]
-            elif bon:
-                out += [("lot", legal, f"{bon}-{x}", apt) for x in found]
-        if not got and body:
-            out.append(("apartment", legal, body, apt))
-    return out
-
-
-def test_ledger_rows_equal_the_state_machine(spark):
-    rng = random.Random(6)
-    bits = ["가람동", "나래동 ", "마루동 ", "491", "12-3", "169-35～38", "256-1 ㆍ 2ㆍ3", "40-9~3", "1008~3", "산12-3", "산491", "9~", ",", ",", ", ", " ", "771(부번지 포함)", "491(푸른빌라 101호, 102호)", "12번지", "하늘마을 501", "10-1~12-3", "(x", "."]
-    rows = [(k, "".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 14)))) for k in range(400)] + [(900, None), (901, "")]
-    rows = [(k, a) for k, a in rows if a is None or not re.search(r"\d(산|\d{4,})|[~\-ㆍ]\s*[~\-ㆍ\d]*\d{3}\d|~\s*산", a)]
-    districts = ["가람동", "나래동"]
+# Ledger texts and what they say, derived by hand: (kind, legal, lot, apt), in the ledger's order.
+LEDGER = {
+    "가람동 764-3, 9~10, 16": [("lot", "가람동", x, False) for x in ("764-3", "9", "10", "764-9", "764-10", "16", "764-16")],
+    "가람동 491(푸른빌라 101호, 102호)": [("lot", "가람동", "491", True)],
+    "가람동 771(부번지 포함)": [("lot", "가람동", "771", False)],
+    "가람동 12-3, 나래동 5, 7": [("lot", "가람동", "12-3", False), ("lot", "나래동", "5", False), ("lot", "나래동", "7", False)],
+    "가람동 12-3, 산4, 5": [("lot", "가람동", "12-3", False), ("lot", "가람동", "산4", False), ("lot", "가람동", "5", False)],
+    "가람동 12-3, 40-9~3, 5": [("lot", "가람동", "12-3", False), ("failed", "가람동", "40-9~3", False), ("apartment", "가람동", "40-9~3", False), ("lot", "가람동", "5", False), ("lot", "가람동", "12-5", False)],
+    "가람동 산100-4~산102": [("lot", "가람동", x, False) for x in ("산100", "산101", "산102", "산100-4")],
+    "가람동 12-1, 13-1~산13-3, 5": [("lot", "가람동", x, False) for x in ("12-1", "산13-1", "산13-2", "산13-3", "5")],
+    "하늘마을 501, 가람동 3번지": [("failed", "", "하늘마을 501", True), ("lot", "가람동", "3", False)],
+    "가람동 하늘마을 501": [("apartment", "가람동", "하늘마을 501", True)],
+    "마루동 5, 가람동 ": [("failed", "", "마루동 5", False)],
+    "가람동 256-1 ㆍ 2ㆍ3 77": [("lot", "가람동", x, False) for x in ("256-1", "256-2", "256-3", "77", "256-77")],
+    "": [],
+    None: [],
+}
+
+
+def test_ledger_table(spark):
+    rows = list(enumerate(LEDGER))
     got = {}
-    for r in L.expand_ledger(spark.createDataFrame(rows, "row_no long, area string"), districts).collect():
+    found = L.expand_ledger(spark.createDataFrame(rows, "row_no long, area string"), ["가람동", "나래동"])
+    for r in sorted(found.collect(), key=lambda r: (r.row_no, r.seg, -1 if r.at is None else r.at, r.kind != "failed", r.n)):
         got.setdefault(r.row_no, []).append((r.kind, r.legal, r.lot, r.apt))
-    known = set(TABLE)
-    checked = 0
-    for k, a in rows:
-        want = machine(a, districts) if a else []
-        words = re.findall(r"[\d~\-ㆍ]+", re.sub(r"\s*([~ㆍ])\s*", r"\1", (a or "").replace("～", "~")))
-        if any(w.strip("-~ㆍ") not in known and not re.fullmatch(r"\d+(-\d+)?", w.strip("-~ㆍ")) for w in words):
-            continue
-        checked += 1
-        assert sorted(got.get(k, []), key=str) == sorted(want, key=str), a
-    assert checked > 60
+    for k, area in rows:
+        assert got.get(k, []) == LEDGER[area], area
 
 
 def test_group_paragraphs_and_labels(spark):
