@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lotweave.plans import lot_queries, name_queries, space_queries
+from lotweave.plans import district_queries, lot_queries, name_queries, space_queries
 
-MODULES = [lot_queries, name_queries, space_queries]
+MODULES = [lot_queries, name_queries, space_queries, district_queries]
 
 
 def queries() -> dict:
