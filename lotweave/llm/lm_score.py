@@ -25,32 +25,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotweave.llm import codes
-from lotweave.llm.common import documents, importable, text_bytes
+from lotweave.llm.common import documents, importable, release, text_bytes
 
 ORDER, LEAST, ALPHA = 3, 2, 0.4
 #: Bytes of texts in a batch, and of asks in a partition of n-grams (about twice the texts' bytes are asked in all).
-BATCH_BYTES, PART_BYTES = 12 << 20, 32 << 20
+BATCH_BYTES, PART_BYTES = 12 << 20, 24 << 20
 CODE_BITS = 56
 SHIFT = np.uint64(64 - CODE_BITS)
 
 TOTAL = np.uint64(0x0123456789ABCDEF) >> SHIFT  # the code of the run of no words
 
 
-def pack(a: np.ndarray) -> bytes:
-    """Sorted codes as differences, byte by byte: the leading bytes are zero and compress away."""
-    return np.ascontiguousarray(np.diff(a, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+def pack(v: np.ndarray) -> bytes:
+    """Numbers byte by byte, least significant ones first, in as many bytes as the largest needs; their number of bytes stands in front."""
+    width = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
+    return bytes([width]) + np.ascontiguousarray(v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def unpack(b) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    raw = np.frombuffer(b, np.uint8)
+    width = int(raw[0])
+    out = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
+    out[:, :width] = raw[1:].reshape(width, -1).T
+    return out.view("<u8").ravel()
 
 
-def pack_counts(n: np.ndarray) -> bytes:
-    return np.ascontiguousarray(n.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
+def pack_codes(a: np.ndarray, start: int) -> bytes:
+    """Sorted codes as differences, from `start` on."""
+    return pack(np.diff(a, prepend=np.uint64(start)))
 
 
-def unpack_counts(b) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel().astype(np.int64)
+def unpack_codes(b, start: int) -> np.ndarray:
+    return np.cumsum(unpack(b), dtype=np.uint64) + np.uint64(start)
 
 
 class Grams:
@@ -89,24 +95,27 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int =
         return pa.table({
             "batch": pa.array([table.column("batch")[0].as_py()] * len(some), pa.int64()),
             "part": pa.array(some, pa.int64()),
-            "grams": pa.array([pack(found[starts[k] : ends[k]]) for k in some], pa.binary()),
-            "counts": pa.array([pack_counts(counts[starts[k] : ends[k]]) for k in some], pa.binary()),
+            "grams": pa.array([pack_codes(found[starts[k] : ends[k]], int(k) * width) for k in some], pa.binary()),
+            "counts": pa.array([pack(counts[starts[k] : ends[k]]) for k in some], pa.binary()),
         })
 
     def answer(table: pa.Table) -> pa.Table:
-        asked = [unpack(c.as_buffer()) for c in table.column("grams")]
-        counts = [unpack_counts(c.as_buffer()) for c in table.column("counts")]
-        found, back = np.unique(np.concatenate(asked), return_inverse=True)
-        sums = np.bincount(back, np.concatenate(counts).astype(np.float64)).astype(np.int64)  # exact up to 2 ** 53
-        told = np.split(sums[back], np.cumsum([len(a) for a in asked])[:-1])
-        return pa.table({"batch": table.column("batch"), "part": table.column("part"), "sums": pa.array([pack_counts(x) for x in told], pa.binary())})
+        start = table.column("part")[0].as_py() * width
+        asked = [unpack_codes(c.as_buffer(), start) for c in table.column("grams")]
+        ends = np.cumsum([len(a) for a in asked])
+        back = np.unique(np.concatenate(asked), return_inverse=True)[1]
+        del asked
+        sums = np.bincount(back, np.concatenate([unpack(c.as_buffer()) for c in table.column("counts")]).astype(np.float64))[back]  # exact up to 2 ** 53
+        told = pa.array([pack(x) for x in np.split(sums.astype(np.int64), ends[:-1])], pa.binary())
+        release()
+        return pa.table({"batch": table.column("batch"), "part": table.column("part"), "sums": told})
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         grams = Grams(texts.column("_t").combine_chunks(), order)
         found, _ = grams.asked()
         by_part = np.argsort(np.asarray(answers.column("part")), kind="stable")
         parts = answers.column("sums").combine_chunks()
-        sums = np.concatenate([unpack_counts(parts[int(k)].as_buffer()) for k in by_part])
+        sums = np.concatenate([unpack(parts[int(k)].as_buffer()) for k in by_part]).astype(np.int64)
         of = lambda c: sums[np.searchsorted(found, c)]
         total = of(np.array([TOTAL]))[0]
         single = of(grams.runs[1][0]).astype(np.float64)
@@ -119,8 +128,7 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int =
             kept = at[n_run[at] >= least]
             value[kept] = np.log(n_run[kept] / below[kept - 1]) + (order - k) * np.log(ALPHA)
             below = n_run
-        edges = np.append(0.0, np.cumsum(value))
-        each = np.array([value[a:b].sum() for a, b in zip(grams.first[:-1], grams.first[1:], strict=True)]) if len(edges) else []
+        each = np.array([value[a:b].sum() for a, b in zip(grams.first[:-1], grams.first[1:], strict=True)])
         return pa.table({key: texts.column("_k"), "n_words": pa.array(np.diff(grams.first), pa.int64()), "log_score": pa.array(each, pa.float64())})
 
     kind = df.schema[key].dataType.simpleString()

@@ -34,10 +34,10 @@ def test_scores_equal_brute_force(spark, order, least, batch, part):
 
 
 def test_packing():
-    a = np.unique(np.random.default_rng(1).integers(0, 2**64, 500, dtype=np.uint64))
-    assert np.array_equal(M.unpack(M.pack(a)), a)
-    n = np.arange(500) ** 3
-    assert np.array_equal(M.unpack_counts(M.pack_counts(n)), n)
+    a = np.unique(np.random.default_rng(1).integers(1 << 40, 1 << 56, 500, dtype=np.uint64))
+    assert np.array_equal(M.unpack_codes(M.pack_codes(a, 1 << 40), 1 << 40), a)
+    for n in (np.arange(500) ** 3, np.zeros(7, np.int64), np.zeros(0, np.int64), np.array([1 << 60])):
+        assert np.array_equal(M.unpack(M.pack(n)), n)
 
 
 def test_empty_table(spark):
