@@ -53,20 +53,30 @@ def with_area(df: DataFrame, geom: str = "geom") -> DataFrame:
     return with_numbers(df, ["area"], lambda p: [float(sum(map(shapes.area, p)))], geom)
 
 
-def polygon_parts(df: DataFrame, geom: str = "geom") -> DataFrame:
-    """A row for each polygon of a row's geometry; rows without any go."""
+def _parts(df: DataFrame, geom: str, of) -> DataFrame:
+    """A row for each WKB geometry that of(geometry) gives."""
     at = df.columns.index(geom)
 
     def run(batches):
         for b in batches:
-            parts = [shapes.from_wkb(g) if g is not None else [] for g in b.column(at).to_pylist()]
+            parts = [of(g) if g is not None else [] for g in b.column(at).to_pylist()]
             rows = pa.array(np.repeat(np.arange(len(b)), [len(p) for p in parts]))
-            geoms = pa.array([shapes.to_wkb(q) for p in parts for q in p], pa.binary())
+            geoms = pa.array([q for p in parts for q in p], pa.binary())
             yield pa.RecordBatch.from_arrays([geoms if k == at else c.take(rows) for k, c in enumerate(b.columns)], names=b.schema.names)
 
     return df.mapInArrow(run, df.schema)
 
 
+def polygon_parts(df: DataFrame, geom: str = "geom") -> DataFrame:
+    """A row for each polygon of a row's geometry, collections included; lines and points go, and rows without polygons."""
+    return _parts(df, geom, lambda g: [shapes.to_wkb(p) for p in shapes.pieces(g)[0] if p])
+
+
+def line_parts(df: DataFrame, geom: str = "geom") -> DataFrame:
+    """A row for each line of a row's geometry, collections included; polygons and points go, and rows without lines."""
+    return _parts(df, geom, lambda g: [shapes.line_to_wkb(x) for x in shapes.pieces(g)[1] if len(x)])
+
+
 #: Overlays of a key's left and right shapes, by name.
 OVERLAYS = {"intersection": overlay.intersection, "difference": overlay.difference, "symmetric": overlay.symmetric_difference, "union": lambda a, b: overlay.union(a + b)}
 

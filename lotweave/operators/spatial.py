@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotweave.geometry import shapes
+from lotweave.geometry import projection, shapes
 from lotweave.operators.tables import written
 
 
@@ -373,7 +373,21 @@ def simplify_units(df: DataFrame, tolerance: float = 8.0) -> DataFrame:
 
 
 def project_units(df: DataFrame, to_degrees: bool = True) -> DataFrame:
-    from lotweave.geometry import projection
-
     f = projection.to_degrees if to_degrees else projection.to_metres
     return map_geometry(df, lambda p: [[np.stack(f(r[:, 0], r[:, 1]), 1) for r in rings] for rings in p])
+
+
+def reproject(df: DataFrame, to: str, crs: str = "crs", geom: str = "geom") -> DataFrame:
+    """df with its polygons in `to`, each from the system its row names (an EPSG code or the text of a .prj file)."""
+    at, named = df.columns.index(geom), df.columns.index(crs)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for g, source in zip(b.column(at).to_pylist(), b.column(named).to_pylist(), strict=True):
+                p = [[projection.move(r, source, to) for r in rings] for rings in shapes.from_wkb(g)] if g is not None else []
+                out.append(None if not p else shapes.to_wkb(p[0]) if len(p) == 1 else shapes.to_multi(p))
+            new = {at: pa.array(out, pa.binary()), named: pa.array([to] * len(b), pa.string())}
+            yield pa.RecordBatch.from_arrays([new.get(k, c) for k, c in enumerate(b.columns)], names=b.schema.names)
+
+    return df.mapInArrow(run, df.schema)

@@ -9,12 +9,13 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotweave.geometry import shapes
 from lotweave.operators.ledger import carry_forward, group_paragraphs, label_mismatch
+from lotweave.operators.spatial import reproject
 
 # Column names of the ledger and of override files, and the header cell of document tables.
 LEDGER_COLUMNS = ("행정동", "통", "반", "관할구역")
@@ -115,12 +116,12 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return found, wrong
 
 
-def shapefile_rows(shp: bytes, dbf: bytes, encoding: str) -> list[tuple[dict, bytes | None]]:
-    """Attributes and polygon (WKB, parts as a multipolygon) of each record."""
+def shapefile_rows(shp: bytes, dbf: bytes, encoding: str, rename: dict[int, str] | None = None) -> list[tuple[dict, bytes | None]]:
+    """Attributes and polygon (WKB, parts as a multipolygon) of each record; rename gives fields other names, by position."""
     (n,), (head, width) = struct.unpack_from("<I", dbf, 4), struct.unpack_from("<HH", dbf, 8)
     fields, at, k = [], 1, 32
     while dbf[k] != 0x0D:
-        name = dbf[k : k + 11].split(b"\0")[0].decode(encoding, "replace")
+        name = (rename or {}).get(len(fields)) or dbf[k : k + 11].split(b"\0")[0].decode(encoding, "replace")
         fields.append((name, at, dbf[k + 16]))
         at += dbf[k + 16]
         k += 32
@@ -146,22 +147,146 @@ def shapefile_rows(shp: bytes, dbf: bytes, encoding: str) -> list[tuple[dict, by
     return out
 
 
-def read_shapefile(spark: SparkSession, path: str, encoding: str = "cp949") -> DataFrame:
-    """(path, record, attributes map, geom) of polygon shapefiles; path names .shp files, with a .dbf beside each."""
+def present(spark: SparkSession, *paths: str) -> list[str]:
+    """Those of the paths or patterns that name at least one file; inputs that are missing are skipped by it."""
+    conf = spark._jsc.hadoopConfiguration()
+
+    def some(path: str) -> bool:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return bool(p.getFileSystem(conf).globStatus(p))
+
+    return [p for p in paths if some(p)]
+
+
+def folder_code(path: Column) -> Column:
+    """The district code that a file's folder is named by; null if it isn't a number."""
+    return F.nullif(F.regexp_extract(path, r"/(\d+)/[^/]+$", 1), F.lit(""))
+
+
+SHAPES = "path string, record int, attributes map<string,string>, geom binary, crs string"
+
+
+def _shape_batches(path: str, shp: bytes, dbf: bytes, encoding: str, crs: str | None, rename: dict[int, str]):
+    rows = shapefile_rows(shp, dbf, encoding, rename)
+    for k in range(0, len(rows), 4096):
+        part = rows[k : k + 4096]
+        yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), pa.array(range(k, k + len(part)), pa.int32()), pa.array([list(r.items()) for r, _ in part], pa.map_(pa.string(), pa.string())), pa.array([g for _, g in part], pa.binary()), pa.array([crs] * len(part), pa.string())], names=["path", "record", "attributes", "geom", "crs"])
+
+
+def read_shapefile(spark: SparkSession, path: str, encoding: str = "cp949", fallback: str = "EPSG:5186", rename: dict[int, str] | None = None) -> DataFrame:
+    """(path, record, attributes map, geom, crs) of polygon shapefiles; path names .shp files, with a .dbf beside each.
+
+    crs is the text of the .prj beside a file, and `fallback` where there is none. rename gives fields other names, by position.
+    """
     files = spark.read.format("binaryFile")
     stem = F.regexp_replace("path", r"\.[^.]*$", "")
-    folder = re.sub(r"\.shp$", ".dbf", path)
-    both = files.load(path).select(stem.alias("path"), F.col("content").alias("shp")).join(files.load(folder).select(stem.alias("path"), F.col("content").alias("dbf")), "path")
+    beside = lambda end: re.sub(r"\.shp$", end, path)
+    part = lambda found, name: files.load(found).select(stem.alias("path"), F.col("content").alias(name))
+    both = part(path, "shp").join(part(beside(".dbf"), "dbf"), "path")
+    if present(spark, beside(".prj")):
+        both = both.join(part(beside(".prj"), "prj"), "path", "left")
+    else:
+        both = both.withColumn("prj", F.lit(None).cast("binary"))
 
     def run(batches):
         for b in batches:
-            for p, shp, dbf in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows = shapefile_rows(shp, dbf, encoding)
-                for k in range(0, len(rows), 4096):
-                    part = rows[k : k + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(part), pa.string()), pa.array(range(k, k + len(part)), pa.int32()), pa.array([list(r.items()) for r, _ in part], pa.map_(pa.string(), pa.string())), pa.array([g for _, g in part], pa.binary())], names=["path", "record", "attributes", "geom"])
+            for p, shp, dbf, prj in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                yield from _shape_batches(p, shp, dbf, encoding, prj.decode("utf-8", "replace") if prj else fallback, rename or {})
+
+    return both.select("path", "shp", "dbf", "prj").mapInArrow(run, SHAPES)
 
-    return both.select("path", "shp", "dbf").mapInArrow(run, "path string, record int, attributes map<string,string>, geom binary")
+
+# The code field of district boundaries, and the third field, whose name is cut within a character.
+BOUNDARY_CODE, BOUNDARY_NAME = "ADM_CD", "ADM_NM"
+
+
+def zipped_shapes(data: bytes) -> list[tuple[str, bytes, bytes, str | None]]:
+    """Name, .shp, .dbf and text of the .prj of each shapefile in a zip file."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = {n.lower(): n for n in z.namelist()}
+        stems = [n[:-4] for n in names if n.endswith(".shp") and n[:-4] + ".dbf" in names]
+        read = lambda n: z.read(names[n])
+        return [(names[s + ".shp"], read(s + ".shp"), read(s + ".dbf"), read(s + ".prj").decode("utf-8", "replace") if s + ".prj" in names else None) for s in stems]
+
+
+def read_boundaries(spark: SparkSession, shp: str, zipped: str, code: str | None = None, to: str = "EPSG:4326", encoding: str = "UTF-8", fallback: str = "EPSG:5186") -> DataFrame:
+    """(code, name, geom) of district boundaries, in the system `to`: of the .shp files, and if there are none of the zip files.
+
+    Without either the table is empty. Records without a shape go.
+    """
+    names = {2: BOUNDARY_NAME}
+    if present(spark, shp):
+        found = read_shapefile(spark, shp, encoding, fallback, names)
+    elif present(spark, zipped):
+
+        def run(batches):
+            for b in batches:
+                for p, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    for name, body, dbf, prj in zipped_shapes(data):
+                        yield from _shape_batches(f"{p}/{name}", body, dbf, encoding, prj or fallback, names)
+
+        found = spark.read.format("binaryFile").load(zipped).select("path", "content").mapInArrow(run, SHAPES)
+    else:
+        return spark.createDataFrame([], "code string, name string, geom binary")
+    rows = found.select(F.col("attributes")[BOUNDARY_CODE].alias("code"), F.col("attributes")[BOUNDARY_NAME].alias("name"), "geom", "crs").where("geom is not null")
+    return reproject(rows.where(F.col("code") == code) if code else rows, to).drop("crs")
+
+
+def sheet_rows(data: bytes, sheet: str) -> list[tuple[int, dict[str, str]]]:
+    """Number and cells (by the first row's titles) of each row of a workbook's sheet; cells that are empty are left out."""
+    import xml.etree.ElementTree as ET
+
+    local = lambda e: e.tag.rpartition("}")[2]
+    every = lambda e, name: [x for x in e.iter() if local(x) == name]
+    text = lambda e: "".join(t.text or "" for t in every(e, "t"))
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        xml = lambda n: ET.fromstring(z.read(n))
+        ids = {s.get("name"): next(v for k, v in s.attrib.items() if k.endswith("}id")) for s in every(xml("xl/workbook.xml"), "sheet")}
+        files = {r.get("Id"): r.get("Target") for r in xml("xl/_rels/workbook.xml.rels")}
+        if sheet not in ids:
+            raise ValueError(f"no sheet {sheet}")
+        shared = [text(s) for s in every(xml("xl/sharedStrings.xml"), "si")] if "xl/sharedStrings.xml" in z.namelist() else []
+        target = files[ids[sheet]]
+        rows = every(xml(target.lstrip("/") if target.startswith("/") else f"xl/{target}"), "row")
+
+    def cells(row) -> dict[str, str]:
+        out = {}
+        for c in (x for x in row if local(x) == "c"):
+            value = next((x.text or "" for x in c if local(x) == "v"), "")
+            if c.get("t") == "s":
+                value = shared[int(value)]
+            elif c.get("t") == "inlineStr":
+                value = text(c)
+            if value:
+                out[re.sub(r"\d", "", c.get("r"))] = value.strip()
+        return out
+
+    titles = cells(rows[0]) if rows else {}
+    return [(int(r.get("r")), {titles[k]: v for k, v in cells(r).items() if k in titles}) for r in rows[1:]]
+
+
+# The review sheet, its titles, and what a row's alias rests on.
+REVIEW_SHEET = "별칭검토"
+REVIEW_COLUMNS = {"dong": "동", "name": "별표명", "value": "juso 공식 건물명(별칭)", "lot": "juso지번", "manual": "직접입력 별칭", "status": "채택(O/X)", "settled": "자동확정"}
+BY_HAND, CONFIRMED = "담당자 직접입력", "담당자 확인(juso)"
+
+
+def read_reviews(spark: SparkSession, path: str, sheet: str = REVIEW_SHEET) -> DataFrame:
+    """(path, seq, dong, name, value, lot, manual, status, basis) of review workbooks; rows that were settled before are left out.
+
+    An alias written by hand has no lot; blank cells are empty texts.
+    """
+
+    def run(batches):
+        for b in batches:
+            for p, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows = sheet_rows(data, sheet)
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(rows), pa.string()), pa.array([n for n, _ in rows], pa.int32()), pa.array([list(c.items()) for _, c in rows], pa.map_(pa.string(), pa.string()))], names=["path", "seq", "cells"])
+
+    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, seq int, cells map<string,string>")
+    out = raw.select("path", "seq", *[F.coalesce(F.col("cells")[title], F.lit("")).alias(name) for name, title in REVIEW_COLUMNS.items()]).where("settled <> 'O'").drop("settled")
+    by_hand = F.col("manual") != ""
+    return out.withColumn("lot", F.when(by_hand, "").otherwise(F.col("lot"))).withColumn("basis", F.when(by_hand, BY_HAND).otherwise(CONFIRMED))
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:

@@ -1,4 +1,7 @@
+import struct
+
 import numpy as np
+import pytest
 
 from lotweave.geometry import shapes
 from lotweave.operators import districts as D
@@ -47,3 +50,17 @@ def test_overlays_of_keys_on_one_side_only(spark):
 def test_palettes(spark):
     r = spark.range(1).select(D.slot_color(D.F.lit(0), "gray").alias("a"), D.slot_color(D.F.lit(12), "vivid").alias("b"), D.slot_color(D.F.lit(0), "unknown", D.F.lit("")).alias("c")).first()
     assert (r.a, r.c) == ("#595959", "#d74242") and r.b.startswith("#e2")
+
+
+def test_parts_of_collections(spark):
+    line = np.array([[0.0, 0], [1, 1], [2, 0]])
+    point = struct.pack("<BIdd", 1, 1, 3.0, 4.0)
+    lines = struct.pack("<BII", 1, 5, 2) + shapes.line_to_wkb(line) + shapes.line_to_wkb(line + 5)
+    mixed = struct.pack("<BII", 1, 7, 3) + shapes.to_multi([[square(0, 0, 1)], [square(5, 5, 2)]]) + lines + point
+    nested = struct.pack("<BII", 1, 7, 1) + mixed
+    df = spark.createDataFrame([(1, nested), (2, point), (3, None), (4, shapes.to_wkb([square(0, 0, 3)])), (5, struct.pack("<BII", 1, 7, 0))], "k int, geom binary")
+    assert sorted((r.k, r.area) for r in D.with_area(D.polygon_parts(df)).collect()) == [(1, 1.0), (1, 4.0), (4, 9.0)]
+    got = D.line_parts(df).collect()
+    assert sorted((r.k, float(shapes.pieces(bytes(r.geom))[1][0][0, 0])) for r in got) == [(1, 0.0), (1, 5.0)]
+    with pytest.raises(ValueError):
+        shapes.from_wkb(nested)

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lotweave.geometry import shapes
+from lotweave.geometry import projection, shapes
+from lotweave.operators import names as N
 from lotweave.sources import readers as R
 from lotweave.sources import writers as W
 
@@ -98,3 +99,75 @@ def test_reports_and_configs_are_written(spark, tmp_path):
     assert sorted((r.admin_code, r.admin_dong) for r in spark.read.json(str(tmp_path / "c")).collect()) == [("1", "a"), ("2", "b")]
     W.write_configs(spark.createDataFrame([("1", "z")], c.schema), str(tmp_path / "c"), force=True)
     assert [r.admin_dong for r in spark.read.json(str(tmp_path / "c")).collect()] == ["z"]
+
+
+PRJ = 'PROJCS["Korea_2000_Korea_Central_Belt_2010",GEOGCS["GCS_Korea_2000",DATUM["D_Korea_2000",SPHEROID["GRS_1980",6378137.0,298.257222101]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]],PROJECTION["Transverse_Mercator"],PARAMETER["False_Easting",200000.0],PARAMETER["False_Northing",600000.0],PARAMETER["Central_Meridian",127.0],PARAMETER["Scale_Factor",1.0],PARAMETER["Latitude_Of_Origin",38.0],UNIT["Meter",1.0]]'
+
+
+def test_coordinate_systems():
+    assert projection.system(PRJ) == projection.system("epsg:5186") and projection.system("EPSG:4326") is None
+    assert projection.system(PRJ[PRJ.index("GEOGCS") : PRJ.index(",PROJECTION")]) is None
+    for bad in ("EPSG:5174", PRJ.replace("6378137.0", "6377397.155"), PRJ.replace("Transverse_Mercator", "Lambert"), ""):
+        with pytest.raises(ValueError):
+            projection.system(bad)
+    p = np.array([[126.8, 37.35], [127.5, 38.0]])
+    metres = projection.move(p, "EPSG:4326", "EPSG:5179")
+    assert np.allclose(metres[1], [1000000, 2000000], atol=1e-6)  # the belt's own origin
+    assert np.allclose(projection.move(projection.move(metres, "EPSG:5179", PRJ), PRJ, "EPSG:4326"), p, atol=1e-9)
+
+
+def test_boundaries(spark, tmp_path):
+    square = np.array([[200000.0, 600000], [200000, 600100], [200100, 600100], [200100, 600000]])
+    where = (str(tmp_path / "*.shp"), str(tmp_path / "*.zip"))
+    assert R.read_boundaries(spark, *where).count() == 0
+    shapefile(tmp_path / "b", [({"BASE": "1", "ADM_CD": "31", "CUT": "가람"}, [square]), ({"BASE": "2", "ADM_CD": "32", "CUT": "나래"}, [square + 100]), ({"BASE": "3", "ADM_CD": "33", "CUT": "x"}, None)])
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.write(tmp_path / "b.shp", "in/b.SHP")
+        z.write(tmp_path / "b.dbf", "in/b.dbf")
+        z.writestr("in/b.prj", PRJ)
+    for name in (".shp", ".dbf"):
+        (tmp_path / "b").with_suffix(name).rename(tmp_path / f"kept{name}.off")
+    packed = [tuple(r) for r in R.read_boundaries(spark, *where, encoding="cp949").orderBy("code").collect()]
+    for name in (".shp", ".dbf"):
+        (tmp_path / f"kept{name}.off").rename((tmp_path / "b").with_suffix(name))
+    loose = [tuple(r) for r in R.read_boundaries(spark, *where, encoding="cp949").orderBy("code").collect()]
+    assert packed == loose and [r[:2] for r in loose] == [("31", "가람"), ("32", "나래")]
+    corner = shapes.from_wkb(bytes(loose[0][2]))[0][0].min(0)
+    assert np.allclose(corner, [127, 38], atol=1e-6)
+    (only,) = R.read_boundaries(spark, *where, code="32", to="EPSG:5186", encoding="cp949").collect()
+    assert only.code == "32" and abs(shapes.area(shapes.from_wkb(bytes(only.geom))[0]) - 10000) < 1e-6
+    (tmp_path / "b.prj").write_text(PRJ)
+    assert {r.crs for r in R.read_shapefile(spark, where[0]).collect()} == {PRJ}
+
+
+def test_missing_inputs_and_folders(spark, tmp_path):
+    (tmp_path / "31").mkdir()
+    (tmp_path / "31" / "t.csv").write_text("행정동,통,반,관할구역\n가람동,1,2,491\n", encoding="utf-8")
+    there, gone = str(tmp_path / "3*" / "t.csv"), str(tmp_path / "3*" / "none.csv")
+    assert R.present(spark, there, gone) == [there]
+    assert R.read_ledger(spark, there).select(R.folder_code(F.col("path"))).first()[0] == "31"
+    assert spark.range(1).select(R.folder_code(F.lit("/a/b/t.csv"))).first()[0] is None
+
+
+def workbook(path, sheet, rows):
+    shared = sorted({v for r in rows for v in r if v})
+    cell = lambda k, n, v: f'<c r="{chr(65 + k)}{n}" t="s"><v>{shared.index(v)}</v></c>' if k % 2 else f'<c r="{chr(65 + k)}{n}" t="inlineStr"><is><t>{v}</t></is></c>'
+    body = "".join(f'<row r="{n}">' + "".join(cell(k, n, v) for k, v in enumerate(r) if v) + "</row>" for n, r in enumerate(rows, 1))
+    ns, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{rel}"><sheets><sheet name="x" sheetId="1" r:id="rId1"/><sheet name="{sheet}" sheetId="2" r:id="rId2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="y"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{ns}">' + "".join(f"<si><r><t>{v}</t></r></si>" for v in shared) + "</sst>")
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet xmlns="{ns}"><sheetData>{body}</sheetData></worksheet>')
+
+
+def test_reviews(spark, tmp_path):
+    head = list(R.REVIEW_COLUMNS.values())
+    workbook(tmp_path / "r.xlsx", R.REVIEW_SHEET, [head, ["가람", "해", "해맑은", "12-3", "", "O", ""], ["가람", "달", "달빛", "4", "달님", "", ""], ["가람", "별", "별빛", "5", "", "X", ""], ["가람", "솔", "솔빛", "6", "", "O", "O"], ["", "", "", "", "", "", ""]])
+    got = R.read_reviews(spark, str(tmp_path / "r.xlsx"))
+    rows = {r.seq: (r.name, r.value, r.lot, r.manual, r.status, r.basis) for r in got.collect()}
+    assert rows[2] == ("해", "해맑은", "12-3", "", "O", R.CONFIRMED) and rows[3] == ("달", "달빛", "", "달님", "", R.BY_HAND) and sorted(rows) == [2, 3, 4, 6]
+    old = spark.createDataFrame([("가람", "해", "해맑은")], "dong string, name string, value string")
+    assert sorted(tuple(r) for r in N.merge_review(old, got, ["dong", "name"]).collect()) == [("가람", "달", "달님"), ("가람", "해", "해맑은")]
+    with pytest.raises(Exception, match="no sheet"):
+        R.read_reviews(spark, str(tmp_path / "r.xlsx"), "y").collect()
