@@ -7,6 +7,8 @@ ties go to the language first in order.
 
 Defined cases: null texts and texts without letters are `und` with score 0; rows with null language teach nothing; without any
 training row all texts are `und`; equal rows get equal results; texts of any length are handled whole. Other columns are not read.
+All profiles are on the driver and in every worker, 5 KB a language; over MOST_LANGUAGES different values of the language column
+raise an error before they are gathered, since that is no column of languages.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from lotweave.llm.labels import remainder
 
 PROFILE = 400  # n-grams in a language's profile
 OF_TEXT = 400  # n-grams of a text that are compared
+MOST_LANGUAGES = 10_000  # bounds what is broadcast; more than there are languages with a code
 
 
 @cache
@@ -69,32 +72,43 @@ def learn(df: DataFrame, lang: str = "lang", text: str = "text", most: int = PRO
     counts = map_texts(df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()), lang, text, work, "lang string, code bigint, n bigint")
     sums = counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
-    rows = sums.withColumn("rank", rank).where(F.col("rank") <= most).collect()  # `most` rows a language
-    out: dict[str, list[int]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r["rank"])):
-        out.setdefault(r.lang, []).append(r.code)
-    return out
+    first = sums.withColumn("rank", rank).where(F.col("rank") <= most)
+    profiles = first.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "code"))).alias("p"))  # `most` n-grams a language
+    rows = profiles.select("lang", F.col("p.code").alias("codes")).limit(MOST_LANGUAGES + 1).toArrow().to_pylist()
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"column {lang} has over {MOST_LANGUAGES} different values")
+    return {r["lang"]: r["codes"] for r in sorted(rows, key=lambda r: r["lang"])}
 
 
 class Profiles:
-    """Profiles as one sorted table: a row an n-gram, a column a language, with the rank there."""
+    """Profiles by n-gram: for each, the languages that have it and its rank there, one after the other. Linear in the profiles."""
 
     def __init__(self, profiles: dict[str, list[int]], most: int):
         self.langs, self.most = sorted(profiles), most
-        self.codes = np.unique(np.concatenate([np.array(p, np.int64) for p in profiles.values()] or [np.zeros(0, np.int64)]))
-        self.ranks = np.full((len(self.codes) + 1, len(self.langs)), most, np.int32)  # the last row: in no profile
-        for j, k in enumerate(self.langs):
-            self.ranks[np.searchsorted(self.codes, np.array(profiles[k], np.int64)), j] = np.arange(len(profiles[k]))
+        sizes = [len(profiles[k]) for k in self.langs]
+        codes = np.concatenate([np.array(profiles[k], np.int64) for k in self.langs] or [np.zeros(0, np.int64)])
+        order = np.argsort(codes, kind="stable")
+        self.of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        self.rank = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes] or [np.zeros(0, np.int32)])[order]
+        self.codes, first = np.unique(codes[order], return_index=True)
+        self.first = np.append(first, len(codes))
+
+    def distances(self, codes: np.ndarray) -> np.ndarray:
+        """The out-of-place distance of each language from a text's n-grams, given by rank."""
+        at = np.searchsorted(self.codes, codes)
+        known = np.flatnonzero(np.append(self.codes, -1)[at] == codes)
+        start, n = self.first[at[known]], self.first[at[known] + 1] - self.first[at[known]]
+        # The places in `of` and `rank` of all known n-grams, and the text's rank at each.
+        places = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        nearer = self.most - np.abs(self.rank[places] - np.repeat(known, n))
+        return self.most * len(codes) - np.bincount(self.of[places], nearer, len(self.langs)).astype(np.int64)
 
     def nearest(self, text: str | None, most: int) -> tuple[str, float]:
         """The language, and by how much of the next one's distance it is nearer."""
         codes = ranking(text or "", most)
         if not len(codes) or not len(self.langs):
             return "und", 0.0
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        at[self.codes[at] != codes] = len(self.codes)
-        own = np.arange(len(codes))[:, None]
-        apart = np.where(self.ranks[at] == self.most, self.most, np.abs(self.ranks[at] - own)).sum(0)
+        apart = self.distances(codes)
         order = np.argsort(apart, kind="stable")
         if len(order) == 1:
             return self.langs[0], 1.0 - float(apart[0]) / (self.most * len(codes))
@@ -105,10 +119,10 @@ class Profiles:
 def predict(df: DataFrame, profiles: dict[str, list[int]], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score)."""
     kind = df.schema[key].dataType.simpleString()
-    model = Profiles(profiles, PROFILE)  # PROFILE n-grams a language
+    model = df.sparkSession.sparkContext.broadcast(Profiles(profiles, PROFILE))  # PROFILE n-grams a language, MOST_LANGUAGES at most
 
     def work(keys: pa.Array, texts: pa.Array):
-        found = [model.nearest(t, OF_TEXT) for t in texts.to_pylist()]
+        found = [model.value.nearest(t, OF_TEXT) for t in texts.to_pylist()]
         yield pa.RecordBatch.from_arrays([keys, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[key, "lang_pred", "score"])
 
     return map_texts(df, key, text, work, f"`{key}` {kind}, lang_pred string, score double")

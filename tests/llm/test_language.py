@@ -1,6 +1,10 @@
+import random
 import zlib
 from collections import Counter
 
+import numpy as np
+import pytest
+
 from lotweave.llm import language as L
 
 
@@ -21,7 +25,6 @@ def brute_grams(text):
 
 
 
-
 def pack(g):
     n = 0
     for c in g:
@@ -70,3 +73,25 @@ def test_held_out_accuracy(spark):
     held = [r for r in got if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) > 0.97
+
+
+def test_distances_of_many_languages_equal_the_definition():
+    pick = random.Random(7)
+    profiles = {f"l{k:04}": pick.sample(range(3000), pick.choice([0, 1, 50, 400])) for k in range(2000)}
+    model = L.Profiles(profiles, L.PROFILE)
+    assert sum(x.nbytes for x in (model.of, model.rank, model.codes, model.first)) < 5000 * len(profiles)
+    for size in (1, 7, 400):
+        codes = pick.sample(range(4000), size)
+        want = []
+        for k in sorted(profiles):
+            rank = {c: i for i, c in enumerate(profiles[k])}
+            want.append(sum(abs(rank[c] - i) if c in rank else L.PROFILE for i, c in enumerate(codes)))
+        assert model.distances(np.array(codes)).tolist() == want
+
+
+def test_too_many_values_are_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([(k, f"l{k % 30}", "some words") for k in range(60)], "doc_id long, lang string, text string")
+    assert len(L.learn(df)) == 30
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 29)
+    with pytest.raises(ValueError):
+        L.learn(df)
