@@ -315,14 +315,23 @@ def territory_pairs(spark, sf):
     return rows.select("row_no", F.posexplode(lots.territory_pairs(F.col("area"))).alias("at", "p")).select("row_no", "at", "p.*")
 
 
-@query("spec_readings", f"""WITH s AS {sql("spec")}, f AS (SELECT *, strpos(core, '~') = 0 AS plain, regexp_extract(core, '^([0-9]+)(?:-([0-9]+))?~([0-9]+)(?:-([0-9]+))?$', ['a', 'sa', 'b', 'sb']) AS m FROM s WHERE strpos(core, 'ㆍ') = 0),
-n AS (SELECT *, try_cast(m.a AS BIGINT) AS na, try_cast(m.b AS BIGINT) AS nb, try_cast(m.sa AS BIGINT) AS nsa, try_cast(m.sb AS BIGINT) AS nsb FROM f)
-SELECT {", ".join(ORDER)}, core, CAST(CASE WHEN plain THEN 1 WHEN m.sa <> '' AND m.sb = '' THEN greatest(0, nb - nsa + 1) WHEN m.sa = '' AND m.sb = '' THEN CASE WHEN nb - na >= 2000 THEN NULL ELSE greatest(0, nb - na + 1) END WHEN m.sa = '' THEN nb - na + 2 WHEN na = nb THEN nsb - nsa + 1 ELSE 2 + nb - na - 1 END AS INT) AS n_older,
- CAST(CASE WHEN plain THEN 1 WHEN m.sa <> '' AND m.sb = '' THEN greatest(0, nb - nsa + 1) WHEN m.sa = '' AND m.sb = '' THEN greatest(0, nb - na + 1) WHEN m.sa = '' THEN nb - na + 2 END AS INT) AS n_oldest FROM n""")
+def _n_read(oldest: bool) -> str:
+    """How many lots an earlier reading finds in a spec's `parts` in DuckDB, null if it can't read one of them."""
+    na, nsa, nb, nsb = (f"try_cast(regexp_extract(p, '^([0-9]+)(?:-([0-9]+))?~([0-9]+)(?:-([0-9]+))?$', {k}) AS BIGINT)" for k in (1, 2, 3, 4))
+    subs = "NULL" if oldest else f"CASE WHEN {na} = {nb} THEN {nsb} - {nsa} + 1 ELSE 2 + {nb} - {na} - 1 END"
+    long = "FALSE" if oldest else f"{nb} - {na} >= 2000"
+    n = f"""CASE WHEN strpos(p, '~') = 0 THEN 1 WHEN {nb} IS NULL THEN NULL WHEN {nsa} IS NOT NULL AND {nsb} IS NULL THEN greatest(0, {nb} - {nsa} + 1)
+ WHEN {nsa} IS NULL AND {nsb} IS NULL THEN CASE WHEN {long} THEN NULL ELSE greatest(0, {nb} - {na} + 1) END WHEN {nsa} IS NULL THEN {nb} - {na} + 2 ELSE {subs} END"""
+    each = f"list_transform(parts, lambda p: {n})"
+    return f"CAST(CASE WHEN len(list_filter({each}, lambda n: n IS NULL)) = 0 THEN coalesce(list_sum({each}), 0) END AS INT)"
+
+
+@query("spec_readings", f"""WITH s AS (SELECT *, list_filter(string_split(core, 'ㆍ'), lambda x: x <> '') AS l FROM {sql("spec")}),
+f AS (SELECT *, list_transform(l, lambda x: CASE WHEN strpos(l[1], '-') > 0 AND strpos(x, '-') = 0 THEN split_part(l[1], '-', 1) || '-' || x ELSE x END) AS parts FROM s)
+SELECT {", ".join(ORDER)}, core, {_n_read(False)} AS n_older, {_n_read(True)} AS n_oldest FROM f""")
 def spec_readings(spark, sf):
-    """How many lots two earlier readings find in specs without middle dots."""
-    s = frame(spark, sf, "spec").where(~F.col("core").contains(lots.DOT))
-    return s.select(*ORDER, "core", *[F.size(lots.expand_spec(F.col("core"), F.lit(False), m)).alias(f"n_{m}") for m in ("older", "oldest")])
+    """How many lots two earlier readings find in each spec."""
+    return frame(spark, sf, "spec").select(*ORDER, "core", *[F.size(lots.expand_spec(F.col("core"), F.lit(False), m)).alias(f"n_{m}") for m in ("older", "oldest")])
 
 
 @query("suspects_by_district", f"SELECT legal, count(*) AS n_bons, CAST(sum(n) AS BIGINT) AS n_lots FROM ({ORACLE['anomaly_scan']}) GROUP BY 1")
