@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lotweave.functions import lots
 from lotweave.operators import names as N
 from lotweave.operators.assign import top_lots
+from lotweave.operators.tables import numbered
 from lotweave.plans.lot_queries import ASSIGNED, LEDGER, PARCEL, assigned, ledger, parcels
 from lotweave.plans.proxy import ORDER, read
 
@@ -161,7 +161,8 @@ def audit_review(spark, sf):
     artifact = lots.range_artifact(F.col("lot"))
     category = F.when(artifact, "artifact").when(F.regexp_extract("lot", r"\d+", 0).cast("int") % 3 == 0, "site").otherwise("other")
     rank = F.when(category == "artifact", 2).when(category == "site", 0).otherwise(1)
-    return l.select("legal", "lot", "tong", category.alias("category"), F.row_number().over(Window.partitionBy("legal").orderBy(rank, "lot", "tong", "seq")).cast("bigint").alias("priority"))
+    reviewed = l.select("legal", "lot", "tong", "seq", category.alias("category"), rank.alias("rank"))
+    return numbered(reviewed, "legal", ["rank", "lot", "tong", "seq"], "priority").select("legal", "lot", "tong", "category", "priority")
 
 
 @query("repro_diff", f"""WITH a AS (SELECT DISTINCT legal, lot, tong FROM {ASSIGNED} WHERE match <> 'none'), b AS (SELECT DISTINCT legal, lot, tong FROM {ASSIGNED} WHERE match = 'exact')

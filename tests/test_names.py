@@ -64,3 +64,25 @@ def test_lookup_review_and_known_lots(spark):
     said = spark.createDataFrame([("c", "가람동 12-3 풍림 101동"), ("c", "나래동 4 풍림 102동")], "code string, area string")
     more = spark.createDataFrame([("c", "풍림 아파트", " 9 ")], "code string, apt_name string, lot string")
     assert [tuple(r) for r in N.known_lots(said, more, ["가람동"]).collect()] == [("c", "풍림", ["12-3", "9"])]
+
+
+def test_numbered_counts_through_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from lotweave.operators.tables import numbered
+
+    rows = spark.range(0, 4000, 1, 7).select(F.expr("CASE WHEN id % 5 = 0 THEN NULL WHEN id % 50 = 1 THEN 'b' ELSE 'a' END").alias("g"), F.expr("CASE WHEN id % 9 > 0 THEN id * 37 % 101 END").alias("v"), "id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that ranges stay apart
+    try:
+        assert rows.repartitionByRange("g", "v", "id").select(F.spark_partition_id()).distinct().count() > 4
+        got = numbered(rows, "g", ["v", "id"], "n").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    groups = {}
+    for r in got:
+        groups.setdefault(r.g, []).append(r)
+    assert len(got) == 4000 and set(groups) == {None, "a", "b"}
+    for own in groups.values():
+        own.sort(key=lambda r: (r.v is not None, r.v or 0, r.id))
+        assert [r.n for r in own] == list(range(1, len(own) + 1))
+    assert numbered(rows.limit(0), "g", ["v", "id"], "n").count() == 0
