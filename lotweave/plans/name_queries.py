@@ -216,12 +216,17 @@ def nice_number(spark, sf):
     return read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), lots.nice_number(F.col("o_totalprice") / 50).alias("nice"))
 
 
-@query("known_lots", f"""WITH t AS (SELECT CAST(p_partkey % 20 AS VARCHAR) AS code, {_AREA} AS s, p_brand FROM part), h AS (SELECT code, CASE WHEN strpos(s, ' A동') > 0 THEN s[:strpos(s, ' A동')] END AS h, p_brand FROM t)
-SELECT code, lower(p_brand) AS name, array_to_string(list_sort(list(DISTINCT regexp_extract(h, '{_LOT}', 2))), ',') AS lots FROM h WHERE h IS NOT NULL GROUP BY 1, 2""")
+#: Confirmed lots of complexes: one a supplier.
+_CONFIRMED = "CAST(s_suppkey % 20 AS STRING) AS code, 'Brand#' || CAST(1 + s_suppkey % 5 AS STRING) || CAST(1 + s_suppkey % 7 AS STRING) || ' 아파트' AS apt_name, ' ' || CAST(s_suppkey AS STRING) || '-3 ' AS lot"
+
+
+@query("known_lots", f"""WITH t AS (SELECT CAST(p_partkey % 20 AS VARCHAR) AS code, {_AREA} AS s, p_brand FROM part), h AS (SELECT code, CASE WHEN strpos(s, ' A동') > 0 THEN s[:strpos(s, ' A동')] END AS h, p_brand FROM t),
+e AS (SELECT code, lower(p_brand) AS name, regexp_extract(h, '{_LOT}', 2) AS lot FROM h WHERE h IS NOT NULL UNION ALL SELECT code, lower(replace(apt_name, ' 아파트', '')), trim(lot) FROM (SELECT {_CONFIRMED} FROM supplier))
+SELECT code, name, array_to_string(list_sort(list(DISTINCT lot)), ',') AS lots FROM e GROUP BY 1, 2""")
 def known_lots(spark, sf):
     t = read(spark, sf, "part").selectExpr("CAST(p_partkey % 20 AS STRING) AS code", f"{_AREA} AS area")
-    none = spark.createDataFrame([], "code string, apt_name string, lot string")
-    return N.known_lots(t, none, ["가람동", "나래동"]).where(F.size("lots") > 0).select("code", "name", F.array_join("lots", ",").alias("lots"))
+    confirmed = read(spark, sf, "supplier").selectExpr(*_CONFIRMED.split(", "))
+    return N.known_lots(t, confirmed, ["가람동", "나래동"]).select("code", "name", F.array_join("lots", ",").alias("lots"))
 
 
 @query("lookup", f"""WITH i AS MATERIALIZED (SELECT legal, lot, min(tong) AS tong FROM {LEDGER} GROUP BY 1, 2), a AS (SELECT DISTINCT legal, regexp_replace(lot, '^산', '') AS lot FROM {PARCEL})
