@@ -18,7 +18,7 @@ others, which contracts near copies into few components; where members are left
 blocks by size, and each pair of blocks with different components whose sizes allow links gets a local DivideSkip search that
 gives a spanning set of links.
 
-Links become components by alternating large and small stars over written tables. For these a spanning set of links is enough; all
+Links become components by forests of runs of edges, and alternating large and small stars over written tables where there are more. For these a spanning set of links is enough; all
 links lie within components, so their numbers are counted there: blocks of each component (or of several small ones) are held
 against each other, and all overlaps in a pair of blocks are counted. Defined cases: null and empty texts and
 texts without words link with nothing; repeated keys link as their texts do and have a row each; texts with fewer words than
@@ -413,10 +413,12 @@ class Inverted:
 def stars(edges: DataFrame) -> DataFrame:
     """(node, root): components of (x, y) edges; root is a component's least node.
 
-    Alternating large and small stars: each node points its larger neighbours to the least of its neighbourhood, then its
-    smaller ones. A pass over runs of each task's own edges comes first, which shortens chains.
+    Each task reduces runs of edges to forests first. Edges that fit in one run are done by that; others go by alternating large
+    and small stars: each node points its larger neighbours to the least of its neighbourhood, then its smaller ones. As soon as
+    what is left fits in one run, a last forest ends it. The rounds' many small exchanges are thus for large inputs only.
     """
     importable(edges.sparkSession)
+    run = FOREST // 2  # edges of a run, whose nodes are within FOREST
 
     def forest(batches):
         root: dict[int, int] = {}
@@ -437,23 +439,34 @@ def stars(edges: DataFrame) -> DataFrame:
                 a, c = find(u), find(v)
                 if a != c:
                     root[max(a, c)] = min(a, c)
-            if len(root) > FOREST:
-                yield kept()
+                if len(root) > 2 * run:
+                    yield kept()
         yield kept()
 
-    edges = durable(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").mapInArrow(forest, "u bigint, v bigint").distinct())
+    def forests(e: DataFrame, n: int) -> DataFrame:
+        """A forest of each run of n edges in all."""
+        return e.coalesce(-(-n // run) or 1).mapInArrow(forest, "u bigint, v bigint")
+
+    edges = edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v")
+    n = edges.count()
+    if n > run:
+        edges = durable(forests(edges, n).distinct())
     seen = None
-    while True:
+    while n > run:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen or mark[0] == 0:
+        n = mark[0]
+        if mark == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = mark
+        if n <= run:
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("w"), "m").where("w <> m").select(F.col("w").alias("u"), F.col("m").alias("v"))
         edges = durable(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+    return durable(forests(edges, n)).select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def long_lists(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame | None:
@@ -479,7 +492,7 @@ def long_lists(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: i
     # Equal cells of several lists (the same near copies) are searched once.
     sides = F.array(F.struct("band", "block"), F.struct(F.col("band2").alias("band"), F.col("block2").alias("block")))
     cells = cells.select("token", F.concat_ws("|", "band", "block", "band2", "block2").alias("cell"), F.explode(F.array_distinct(sides)).alias("side")).select("token", "cell", "side.*")
-    asked = cells.join(dealt, ["token", "band", "block"])
+    asked = durable(cells.join(dealt, ["token", "band", "block"]))
     rows = asked.join(only_marked(sets, asked.select("node")), "node").select("token", "cell", "node", "label", "items")
 
     def search(table: pa.Table) -> pa.Table:
@@ -621,7 +634,7 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
     best = Window.partitionBy("x").orderBy(F.desc("times"), "y")
     ranked = pairs.withColumn("first", F.row_number().over(best) == 1)
     links = durable(checked(ranked.where("first").select("x", "y"), sets, percent))
-    roots = durable(stars(links))
+    roots = stars(links)
     label = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     rest = ranked.where("not first").join(label("x"), "x", "left").join(label("y"), "y", "left")
     rest = durable(rest.where(F.coalesce("root_x", "x") != F.coalesce("root_y", "y")).select("x", "y"))
@@ -637,7 +650,7 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
     numbers = []
     if count:
         numbers = ["n_links"]
-        named = named.join(durable(link_counts(durable(roots), sets, percent, block)), "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+        named = named.join(durable(link_counts(roots, sets, percent, block)), "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     named = durable(named.select("n", "a", "b", "component_id", *numbers))
     met = docs.where("n > 0").select("id", "n", "a", "b").join(named, ["n", "a", "b"]).select("id", "n", "component_id", *numbers)
     alone = docs.where("n = 0").select("id", "n", F.col("id").alias("component_id"), *[F.lit(0).cast("bigint").alias(c) for c in numbers])

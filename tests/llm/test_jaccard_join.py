@@ -80,6 +80,23 @@ def test_components_of_long_chains(spark):
     assert got == {**{k: 0 for k in range(1, 301)}, 1001: 1000, 1002: 1000}
 
 
+@pytest.mark.parametrize(("forest", "tables"), [(1 << 18, 1), (120, 3), (8, 3)])
+def test_few_edges_are_one_pass_and_many_go_by_stars(spark, monkeypatch, forest, tables):
+    written = []
+    monkeypatch.setattr(J, "FOREST", forest)
+    monkeypatch.setattr(J, "durable", lambda df, f=J.durable: written.append(1) or f(df))
+    rng = random.Random(5)
+    edges = [(k, k + 3) for k in range(200)] + [(1000 + rng.randrange(60), 1000 + rng.randrange(60)) for _ in range(40)]
+    rng.shuffle(edges)
+    root = {k: k for e in edges for k in e}
+    for _ in root:
+        for x, y in edges:
+            root[x] = root[y] = min(root[x], root[y])
+    got = dict(J.stars(spark.createDataFrame(edges, "x long, y long").repartition(8)).collect())
+    assert got == {k: r for k, r in root.items() if k != r}
+    assert len(written) == 1 if tables == 1 else len(written) >= tables
+
+
 def test_empty_table(spark):
     assert J.components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
