@@ -59,13 +59,14 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_line(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve through (x, y), by Newton's method."""
+def fit_line(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3, times: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and intercept of a logistic curve through (x, y), by Newton's method; times: how often each point counts, once if left out."""
     a, w = np.stack([x, np.ones_like(x)], 1), np.zeros(2)
+    each, n = (1.0, len(y)) if times is None else (times, times.sum())
     for _ in range(rounds):
         p = sigmoid(a @ w)
-        g = a.T @ (p - y) + ridge * len(y) * np.array([w[0], 0])
-        h = (a * (p * (1 - p))[:, None]).T @ a + ridge * len(y) * np.diag([1, 1e-6])
+        g = a.T @ (each * (p - y)) + ridge * n * np.array([w[0], 0])
+        h = (a * (each * p * (1 - p))[:, None]).T @ a + ridge * n * np.diag([1, 1e-6])
         step = np.linalg.solve(h + 1e-9 * np.eye(2), g)
         w -= np.clip(step, -5, 5)
     return float(w[0]), float(w[1])

@@ -61,6 +61,48 @@ def test_weights_are_where_all_pairs_loss_is_flat():
     assert np.argsort(w[:4]).tolist() == [0, 1, 2, 3] or w[3] > w[0]
 
 
+def test_cells_give_loss_slope_and_curvature_of_all_pairs():
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 300)
+    own, w = np.stack([rng.integers(0, 4, 300), 4 + rng.integers(0, 3, 300)], 1), rng.normal(0, 2, 7)
+    at = Q.Pairwise(Q.Here(own, y), w, 2)
+    slope, curve = at.turned()
+    x = np.zeros((300, 7))
+    np.put_along_axis(x, own, 1, 1)
+    apart = (x[y == 1][:, None] - x[y == 0]).reshape(-1, 7)
+    p = 1 / (1 + np.exp(apart @ w))
+    assert abs(at.loss - np.log1p(np.exp(-apart @ w)).mean() - Q.RIDGE / 2 * w @ w) < 1e-7
+    assert np.allclose(slope, -(apart * p[:, None]).mean(0) + Q.RIDGE * w, atol=1e-7)
+    assert np.allclose(curve, (apart * (p * (1 - p))[:, None]).T @ apart / len(apart), atol=0.02)
+
+
+def test_quantiles_and_ranks_are_exact():
+    rng = np.random.default_rng(7)
+    x = np.stack([rng.normal(0, 1e3, 9001), rng.integers(-2, 3, 9001) * 0.1, np.zeros(9001), -(10.0 ** rng.integers(-300, 300, 9001))], 1)
+    rows = Q.Here(x, np.zeros(9001, np.int64))
+    assert np.array_equal(Q.at_ranks(rows, np.array([0, 1, 4500, 9000]), 4), np.sort(x, 0)[[0, 1, 4500, 9000]].T)
+    assert np.allclose(Q.quantiles(rows, 9001, Q.QUANTILES, 4), np.quantile(x, Q.QUANTILES, axis=0).T, rtol=1e-12)
+
+
+def test_all_labelled_rows_are_learned_from_wherever_they_are(spark, monkeypatch):
+    n = 26_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('word ', id % 977, repeat(' aa', int(id % 13)), if(hash(id) % 3 = 0, ' !!', ' a.')) AS text").repartition(5)
+    labels = docs.selectExpr("doc_id", "int(text NOT LIKE '%!!' OR doc_id % 50 = 0) AS quality")
+    seen = []
+    monkeypatch.setattr(Q, "fit", lambda rows, f=Q.fit: seen.append(rows) or f(rows))
+    monkeypatch.setattr(Q, "FAN_IN", 2)
+    got = Q.train(docs, labels)
+    keys = [k for k in range(n) if zlib.crc32(str(k).encode()) % 5]
+    assert len(keys) > 20_000 and seen[0].df.count() == len(keys)
+    rows = {r.doc_id: (r.text, r.quality) for r in docs.join(labels, "doc_id").collect()}
+    x, y = Q.features(pa.array([rows[k][0] for k in keys])), np.array([rows[k][1] for k in keys])
+    here = Q.fit(Q.Here(x, y))
+    assert np.array_equal(got.edges, here.edges) and np.array_equal(got.weights, here.weights)
+    assert (got.threshold, got.slope) == (here.threshold, here.slope)
+    raw = np.sort(got.raw(x))
+    assert got.threshold == raw[[(y == 0).sum() - 1, (y == 0).sum()]].mean()
+
+
 def test_odd_labels_and_empty_tables(spark):
     docs = spark.createDataFrame([(k, f"word {k}", "x") for k in range(20)], "doc_id long, text string, score string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
